@@ -203,6 +203,7 @@ def prefault_summary(df: DataFrame, group: list[str], y: str, value: str, anomal
     full = join_on(med, quantiles_by(spread, keyed, {"mad": ("_d", 0.5)}), keyed, "left")
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     wide = full.groupBy(*group).agg(*[pick(c, s).alias(f"{s}_{c}") for s in ("case", "control") for c in ("n", "mean", "median", "mad", "anomaly_rate")])
+    wide = wide.withColumns({f"{s}_n": F.coalesce(f"{s}_n", F.lit(0)) for s in ("case", "control")})
     wide = wide.withColumn("median_difference", F.col("case_median") - F.col("control_median"))
     return join_on(wide, auc(df, group, y, value).select(*group, "cliffs_delta"), group, "left")
 

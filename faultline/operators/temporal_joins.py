@@ -100,14 +100,14 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], ts:
     levelled = intervals.withColumn(
         "_level",
         F.greatest(
-            F.lit(0), F.ceil(F.log(F.lit(float(LEVEL_FACTOR)), duration / F.lit(float(SMALLEST_BUCKET))) - 1e-9)
+            F.lit(0), F.ceil(F.log(float(LEVEL_FACTOR), duration / F.lit(float(SMALLEST_BUCKET))) - 1e-9)
         ).cast("int"),
     )
     used = sorted(r[0] for r in levelled.select("_level").distinct().collect() if r[0] is not None)
     if not used:
         used = [0]
     width = {n: SMALLEST_BUCKET * LEVEL_FACTOR**n for n in used}
-    wide = F.element_at(F.create_map(*[F.lit(x) for n, w in width.items() for x in (n, w)]), F.col("_level"))
+    wide = F.create_map(*[F.lit(x) for n, w in width.items() for x in (n, w)])[F.col("_level")]
     spread = levelled.withColumn(
         "_bucket", F.explode(F.sequence(F.floor(micros(F.col(start)) / wide), F.floor(micros(F.col(end)) / wide)))
     )

@@ -86,7 +86,7 @@ def rolling(column: str, n: int, aggregates: list[str], minimum: int = 1, past_o
     def stage(w):
         over = frame(w, n, past_only)
         enough = F.count(column).over(over) >= minimum
-        return {f"{prefix or column}_{a}": F.when(enough, functions[a](column).over(over)) for a in aggregates}
+        return {f"{column if prefix is None else prefix}_{a}": F.when(enough, functions[a](column).over(over)) for a in aggregates}
 
     return stage
 

@@ -33,9 +33,9 @@ def _(spark, d):
     return out.select("point_id", "value_lag_1", "value_lag_2", F.coalesce("value_lag_3", F.lit(0.0)).alias("value_lag_3"))
 
 
-@query("e02_lead", with_views(f"SELECT point_id, lead(label) OVER ({W}) AS next_label FROM telemetry", "telemetry"))
+@query("e02_lead", with_views(f"SELECT point_id, coalesce(lead(label) OVER ({W}), -1) AS next_label FROM telemetry", "telemetry"))
 def _(spark, d):
-    return line(spark, d).frames(tsr.lead("label", "next_label"), after=1).result().select("point_id", "next_label")
+    return line(spark, d).frames(tsr.lead("label", "next_label"), after=1).result().select("point_id", F.coalesce("next_label", F.lit(-1)).alias("next_label"))
 
 
 @query("e03_deltas", with_views("SELECT point_id, " + ", ".join(f"round(value - lag(value, {n}) OVER ({W}), 6) + 0.0 AS value_delta_{n}" for n in (1, 2, 5, 15)) + f", round(value - 2 * lag(value) OVER ({W}) + lag(value, 2) OVER ({W}), 6) + 0.0 AS value_delta2 FROM telemetry", "telemetry"))
