@@ -161,7 +161,7 @@ def _best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.Dat
 
 
 MAX_PIVOTS = 128
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
 QUERY_ROWS = 2048
 
 
