@@ -103,8 +103,12 @@ class TextModel:
             size = np.sqrt((values * values).sum())
             return SparseVector(v.size, v.indices, values / size if size else values)
 
-        weighted = self.model.transform(self._prepared(df)).withColumn(self.output, F.udf(weigh, VectorUDT())("_tf"))
-        return weighted.drop("_w1", "_w2", "_terms", "_tf")
+        counted = self.model.transform(self._prepared(df)).drop("_w1", "_w2", "_terms")
+        if self.characters:
+            # The planner cannot run a Python function on top of the gram lambdas.
+            counted = materialize(counted)
+        weighted = counted.withColumn(self.output, F.udf(weigh, VectorUDT())("_tf"))
+        return weighted.drop("_tf")
 
 
 class TicketModel:

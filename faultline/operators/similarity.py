@@ -194,7 +194,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = BL
             yield batch.assign(cell=d.argmin(axis=1).astype("int32"), pivot_distance=d.min(axis=1))
 
     celled = VECTOR + ", cell int, pivot_distance double"
-    placed = corpus.select("id", "idx", "val").mapInPandas(to_cells, celled)
+    placed = materialize(corpus.select("id", "idx", "val").mapInPandas(to_cells, celled))
     stats = {
         r["cell"]: (r["n"], r["radius"])
         for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pivot_distance").alias("radius")).collect()
@@ -203,9 +203,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = BL
     per_cell = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
     sub = F.pmod(F.xxhash64("id"), per_cell[F.col("cell")]).cast("int")
     index = placed.withColumn("sub", sub).drop("pivot_distance")
-    asked = queries.select("id", "idx", "val").mapInPandas(to_cells, celled).filter(F.col("cell").isin(list(blocks)))
+    asked = (placed.toDF(*placed.columns) if queries is corpus else materialize(queries.select("id", "idx", "val").mapInPandas(to_cells, celled))).filter(F.col("cell").isin(list(blocks)))
     first = asked.withColumn("sub", sub).drop("pivot_distance")
-    near = _search(first, index, k)
+    near = materialize(_search(first, index, k))
     floor = near.groupBy("id").agg(F.min("similarity").alias("_min"), F.count(F.lit(1)).alias("_n"))
     floor = floor.select("id", F.when(F.col("_n") >= k, F.col("_min")).otherwise(F.lit(0.0)).alias("floor"))
     everyone = queries.select("id", "idx", "val").join(first.select("id", "cell", "sub"), "id", "left").join(floor, "id", "left")
@@ -255,7 +255,8 @@ def knn_documents(vecs: DataFrame, k: int) -> DataFrame:
     """
     groups = vecs.groupBy("copy_key").agg(F.min_by(F.struct("id", "idx", "val"), "id").alias("v"))
     reps = groups.select("copy_key", "v.*")
-    found = knn_join(reps, reps, k)
+    reps = materialize(reps)
+    found = materialize(knn_join(reps, reps, k))
     first = Window.partitionBy("copy_key").orderBy("id")
     members = vecs.select("copy_key", "id").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1).drop("_n")
     own = members.select("copy_key", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity"))
@@ -297,7 +298,7 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, small: int = 5_0
 PAIR = "a string, b string, similarity double, first long, second long"
 
 
-def _first_mismatch(la, ia, lb, ib, same: bool) -> tuple[int, int] | None:
+def _first_mismatch(la, ia, lb, ib) -> tuple[int, int] | None:
     """Smallest (i, j) of members with different labels, from the least id of each label."""
     best = None
     for x, i in zip(la, ia):
@@ -308,69 +309,94 @@ def _first_mismatch(la, ia, lb, ib, same: bool) -> tuple[int, int] | None:
     return best
 
 
-def near_duplicates(vecs: DataFrame, labels: DataFrame, threshold: float, limit: int) -> DataFrame:
+def near_duplicates(vecs: DataFrame, labels: DataFrame, threshold: float, limit: int, posting_rows: int = 64) -> DataFrame:
     """The ``limit`` most similar pairs (cosine at or above the threshold) of documents
     with different labels, ordered by similarity and ids.
 
     Prefix filter: with rare terms first, a pair above the threshold shares a term among
-    the leading terms whose remainder is shorter than the threshold. Posting lists longer
-    than a block are compared as block pairs. Every step keeps its ``limit`` best rows in
-    the final order, which loses nothing.
+    the leading terms whose remainder is shorter than the threshold. Short posting lists
+    give candidates whose bound (product over the shared leading terms plus the product of
+    the remainders) is checked before any vector is moved. Lists longer than
+    ``posting_rows`` are compared as block pairs inside tasks. Every step keeps its
+    ``limit`` best rows in the final order, which loses nothing.
     """
     ship_package(vecs.sparkSession)
     labelled = vecs.join(labels.select(F.col("id"), "label"), "id")
     units = labelled.groupBy("copy_key", "label").agg(F.min("id").alias("least"))
     named = units.groupBy("copy_key").agg(F.array_sort(F.collect_list(F.struct("label", "least"))).alias("_u"))
     reps = vecs.groupBy("copy_key").agg(F.min_by(F.struct("idx", "val"), "id").alias("v")).join(named, "copy_key")
-    reps = reps.select(F.col("copy_key").alias("key"), "v.idx", "v.val", F.col("_u.label").alias("labels"), F.col("_u.least").alias("least"))
-    row = "key string, idx array<int>, val array<double>, labels array<string>, least array<long>"
+    reps = materialize(
+        reps.select(F.col("copy_key").alias("key"), "v.idx", "v.val", F.col("_u.label").alias("labels"), F.col("_u.least").alias("least"))
+    )
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, idx, val in zip(batch["key"], batch["idx"], batch["val"]):
+                v = np.asarray(val)
+                rest = np.append(np.sqrt(np.maximum(0.0, np.cumsum((v * v)[::-1])[::-1])), 0.0)
+                cut = int(np.count_nonzero(rest[:-1] >= threshold - 1e-9))
+                if cut:
+                    last = int(idx[cut - 1])
+                    out += [(int(idx[p]), key, float(v[p]), float(rest[p + 1]), last, float(rest[cut])) for p in range(cut)]
+            yield pd.DataFrame(out, columns=["term", "key", "w", "rest", "last", "rest_cut"])
+
+    posted = reps.select("key", "idx", "val").mapInPandas(prefixes, "term int, key string, w double, rest double, last int, rest_cut double")
+    sizes = posted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    sized = materialize(posted.join(sizes, "term"))
+
+    light = sized.filter(F.col("n") <= posting_rows).drop("n")
+    other = light.select("term", *[F.col(c).alias("_" + c) for c in ("key", "w", "rest", "last", "rest_cut")])
+    shared = light.join(other, "term").filter(F.col("key") < F.col("_key"))
+    left_first = F.col("last") <= F.col("_last")
+    tail = F.when(left_first, F.col("rest_cut") * F.col("_rest")).otherwise(F.col("rest") * F.col("_rest_cut"))
+    bound = shared.groupBy(F.col("key").alias("a"), F.col("_key").alias("b")).agg(
+        (F.sum(F.col("w") * F.col("_w")) + F.max_by(tail, "term")).alias("bound")
+    )
+    candidates = bound.filter(F.col("bound") >= threshold - 1e-6).select("a", "b")
+    side = lambda name: reps.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("idx", "val", "labels", "least")])
+    verify = candidates.join(side("a"), "a").join(side("b"), "b")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                v = np.asarray(r.val)
-                rest = np.sqrt(np.maximum(0.0, np.cumsum((v * v)[::-1])[::-1]))
-                cut = int(np.count_nonzero(rest >= threshold - 1e-9))
-                out += [(int(t), *r) for t in np.asarray(r.idx)[:cut]]
-            yield pd.DataFrame(out, columns=["term", *batch.columns])
+                _, x, y = np.intersect1d(r.idx_a, r.idx_b, assume_unique=True, return_indices=True)
+                score = round(float(np.dot(np.asarray(r.val_a)[x], np.asarray(r.val_b)[y])), DIGITS)
+                first = _first_mismatch(r.labels_a, r.least_a, r.labels_b, r.least_b) if score >= threshold else None
+                if first is not None:
+                    out.append((r.a, r.b, score, int(first[0]), int(first[1])))
+            yield pd.DataFrame(out, columns=["a", "b", "similarity", "first", "second"])
 
-    posted = reps.mapInPandas(prefixes, "term int, " + row)
-    sizes = posted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    sized = posted.join(sizes.select("term", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("chunks")), "term")
+    from_light = verify.mapInPandas(check, PAIR)
+
+    heavy = sized.filter(F.col("n") > posting_rows).select("term", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    spread = sized.withColumn("_own", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    spread = heavy.join(reps, "key").withColumn("_own", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.select(
-        F.when(F.col("chunks") > 1, F.col("term")).otherwise(-1 - F.pmod("term", F.lit(1024))).alias("g"),
-        F.least("_own", "_x").alias("ca"), F.greatest("_own", "_x").alias("cb"), F.col("_own").alias("own"), "term", "key", "idx", "val", "labels", "least",
+        F.col("term").alias("g"), F.least("_own", "_x").alias("ca"), F.greatest("_own", "_x").alias("cb"), F.col("_own").alias("own"), "key", "idx", "val", "labels", "least"
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        best: dict[tuple[str, str], tuple[float, int, int]] = {}
-        for _, rows in group.groupby("term", sort=False):
-            if len(rows) < 2:
-                continue
-            rows = rows.reset_index(drop=True)
-            dense = _matrix(rows["idx"], rows["val"], _terms(rows["idx"]))
-            scores = np.round(dense @ dense.T, DIGITS)
-            left, right = np.nonzero(np.triu(scores >= threshold, 1))
-            crossing = rows["ca"].iloc[0] != rows["cb"].iloc[0]
-            for i, j in zip(left, right):
-                if crossing and rows.at[i, "own"] == rows.at[j, "own"]:
-                    continue
-                a, b = sorted((i, j), key=lambda r: rows.at[r, "key"])
-                pair = (rows.at[a, "key"], rows.at[b, "key"])
-                if pair in best:
+        best: list[tuple] = []
+        dense = _matrix(group["idx"], group["val"], _terms(group["idx"]))
+        crossing = group["ca"].iloc[0] != group["cb"].iloc[0]
+        keys, owner = group["key"].to_numpy(), group["own"].to_numpy()
+        labelled_as, least = group["labels"].to_list(), group["least"].to_list()
+        for start in range(0, len(group), 256):
+            scores = np.round(dense[start : start + 256] @ dense.T, DIGITS)
+            for i, j in zip(*np.nonzero(scores >= threshold)):
+                i, score = i + start, float(scores[i, j])
+                if i >= j or (crossing and owner[i] == owner[j]):
                     continue
-                first = _first_mismatch(rows.at[a, "labels"], rows.at[a, "least"], rows.at[b, "labels"], rows.at[b, "least"], False)
+                first = _first_mismatch(labelled_as[i], least[i], labelled_as[j], least[j])
                 if first is not None:
-                    best[pair] = (float(scores[i, j]), int(first[0]), int(first[1]))
-            if len(best) > 20 * limit:
-                best = dict(heapq.nsmallest(limit, best.items(), key=lambda e: (-e[1][0], e[1][1], e[1][2])))
-        kept = heapq.nsmallest(limit, best.items(), key=lambda e: (-e[1][0], e[1][1], e[1][2]))
-        return pd.DataFrame([(*p, *s) for p, s in kept], columns=["a", "b", "similarity", "first", "second"])
+                    best.append((*sorted((keys[i], keys[j])), score, int(first[0]), int(first[1])))
+            best = heapq.nsmallest(limit, best, key=lambda e: (-e[2], e[3], e[4]))
+        return pd.DataFrame(best, columns=["a", "b", "similarity", "first", "second"])
 
-    across = spread.groupBy("g", "ca", "cb").applyInPandas(compare, PAIR).distinct()
+    from_heavy = spread.groupBy("g", "ca", "cb").applyInPandas(compare, PAIR)
+    across = from_light.unionByName(from_heavy).distinct()
     two = reps.filter(F.size("labels") > 1)
     ids = F.array_sort("least")
     inside = two.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"), ids[0].alias("first"), ids[1].alias("second"))
@@ -384,17 +410,20 @@ def near_duplicates(vecs: DataFrame, labels: DataFrame, threshold: float, limit:
         a, b, score = group["a"].iloc[0], group["b"].iloc[0], group["similarity"].iloc[0]
         left = group[group["copy_key"] == a].sort_values("id")
         right = group[group["copy_key"] == b].sort_values("id")
-        merged = sorted({(i, "a", l) for i, l in zip(left["id"], left["label"])} | {(i, "b", l) for i, l in zip(right["id"], right["label"])})
+        members = [(i, "a", name) for i, name in zip(left["id"], left["label"])]
+        if a != b:
+            members += [(i, "b", name) for i, name in zip(right["id"], right["label"])]
+        members.sort()
         rows: list[tuple] = []
-        for at, (i, side, label) in enumerate(merged):
-            for j, other, name in merged[at + 1 :]:
-                if label != name and i != j and (a == b or side != other):
+        for at, (i, side, label) in enumerate(members):
+            for j, other, name in members[at + 1 :]:
+                if label != name and (a == b or side != other):
                     rows.append((i, j, label, name, score))
-                    if len(rows) >= 2 * limit:
+                    if len(rows) >= limit:
                         break
-            if len(rows) >= 2 * limit:
+            if len(rows) >= limit:
                 break
-        return pd.DataFrame(rows, columns=["i", "j", "label_i", "label_j", "similarity"]).drop_duplicates()
+        return pd.DataFrame(rows, columns=["i", "j", "label_i", "label_j", "similarity"])
 
     pairs = sides.groupBy("a", "b").applyInPandas(expand, "i long, j long, label_i string, label_j string, similarity double")
     return pairs.orderBy(F.col("similarity").desc(), "i", "j").limit(limit)
