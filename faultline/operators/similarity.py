@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.skew import join_on
-from faultline.session import materialize, ship_package
+from faultline.session import materialize, ship_package, spread
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 DIGITS = 9
@@ -65,7 +65,7 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 def term_counts(df: DataFrame, id_col: str, base: Column, grams: Callable[[Column], Column]) -> DataFrame:
     """Terms of every document with their counts. ``base`` (such as the word list) is
     computed once per row, then ``grams`` turns it into terms."""
-    based = df.select(id_col, base.alias("_base"))
+    based = spread(df).select(id_col, base.alias("_base"))
     terms = based.select(id_col, F.explode(grams(F.col("_base"))).alias("term"))
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.quantiles import quantiles_by
-from faultline.operators.skew import Timeline, join_on
+from faultline.operators.skew import SLICE, Timeline, join_on
 
 # Frame lengths and thresholds of the detectors.
 ROLLING, MINIMUM, ROBUST_Z_LIMIT, MAD_LIMIT, EWMA_SPAN, EWMA_LIMIT = 15, 5, 3.5, 3.5, 20, 3.0
 MAD_TO_SIGMA, SIGMA_TO_MAD = 1.4826, 0.6745
-EWMA_ROWS = 400
+EWMA_BLOCK = 256
 
 
 def frame(w, n: int, past_only: bool = False):
@@ -120,19 +120,53 @@ def robust_z(value: Column, median: Column, mad: Column, on_zero_mad: str = "zer
     return F.coalesce(z, F.lit(0.0)) if on_zero_mad == "zero" else z
 
 
-def ewma_stage(column: str, output: str, span: int = EWMA_SPAN, rows: int = EWMA_ROWS):
-    """Exponentially weighted mean without bias adjustment. The weight of a value
-    ``rows`` steps back is below double precision, so the frame is bounded."""
+def ewma(column: str, output: str, keys: list[str], order: list[str], span: int = EWMA_SPAN, rows: int = EWMA_BLOCK):
+    """Stages of the exponentially weighted mean without bias adjustment.
+
+    The recursion is solved in blocks of ``rows`` known values: a scaled running sum inside
+    the block plus the decayed result of the block before. Terms older than two blocks
+    weigh less than double precision resolves. Every pass is linear and stays in the
+    partitioning of the series.
+    """
     alpha = 2.0 / (span + 1)
+    q, place = F.lit(1 - alpha), F.col("_place")
+
+    def number(w):
+        return {"_known": F.count(column).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
+
+    def placed(_w):
+        first = F.col("_known") <= 1
+        share = F.when(first, F.col(column)).otherwise(F.col(column) * F.lit(alpha))
+        return {
+            "_place": F.pmod(F.col("_known") - 1, F.lit(rows)).cast("double"),
+            "_block": F.floor((F.col("_known") - 1) / rows),
+            "_share": F.coalesce(share, F.lit(0.0)),
+        }
 
-    def stage(w):
-        values = F.collect_list(F.col(column).cast("double")).over(frame(w, rows))
-        fold = F.aggregate(
-            F.slice(values, 2, rows), F.element_at(values, 1), lambda s, x: s * F.lit(1 - alpha) + x * F.lit(alpha)
-        )
-        return {output: F.when(F.size(values) > 0, fold)}
+    def inside(w):
+        block = Window.partitionBy(*keys, SLICE, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return {"_local": F.pow(q, place) * F.sum(F.col("_share") * F.pow(q, -place)).over(block)}
 
-    return stage
+    def carried(source: str, target: str):
+        def stage(w):
+            earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+            ends = F.when(F.lead("_block").over(w) > F.col("_block"), F.col(source))
+            return {"_end": ends} if target == "" else {target: F.last("_end", ignorenulls=True).over(earlier)}
+
+        return stage
+
+    total = lambda carry: F.col("_local") + F.pow(q, place + 1) * F.coalesce(F.col(carry), F.lit(0.0))
+    return [
+        number,
+        placed,
+        inside,
+        carried("_local", ""),
+        carried("_local", "_carry"),
+        lambda _w: {"_two": total("_carry")},
+        carried("_two", ""),
+        carried("_two", "_carry"),
+        lambda _w: {output: F.when(F.col("_known") > 0, total("_carry"))},
+    ]
 
 
 def detectors(line: Timeline, value: str = "value", keys: list[str] | None = None) -> DataFrame:
@@ -141,12 +175,12 @@ def detectors(line: Timeline, value: str = "value", keys: list[str] | None = Non
     line = line.frames(
         rolling(value, ROLLING, ["median", "q25", "q75", "std"], MINIMUM, prefix=""),
         *rolling_mad(value, ROLLING, MINIMUM, "_mad"),
-        ewma_stage(value, "ewma"),
+        *ewma(value, "ewma", line.keys, line.order),
         lambda w: {"ewma_residual": F.col(value) - F.col("ewma"), "_before": F.lag(value).over(w)},
         rolling("ewma_residual", ROLLING, ["std"], MINIMUM, prefix="_residual"),
-        before=EWMA_ROWS + ROLLING,
+        before=2 * EWMA_BLOCK + ROLLING,
     )
-    df = line.columns({"median_deviation": F.col(value) - median}).result("_frame", "_centre")
+    df = line.columns({"median_deviation": F.col(value) - median}).result("_frame", "_centre", "_known", "_place", "_block", "_share", "_local", "_end", "_carry", "_two")
     keys = keys if keys is not None else line.keys
     spread = quantiles_by(df, keys, {"_series_std": ("_residual_std", 0.5)})
     df = join_on(df, spread, keys, "left")

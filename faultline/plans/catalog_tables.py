@@ -18,7 +18,7 @@ from faultline.operators.incidents import top_k
 from faultline.plans.catalog_events import SIGNALS_SQL
 from faultline.plans.catalog_series import DETECT_SQL, VOTES_SQL, voted
 from faultline.plans.registry import big, query, rnd, rounded
-from faultline.session import scratch_path
+from faultline.session import scratch_path, spread
 from faultline.sources import datasets as ds
 from faultline.sources import tables as tb
 from faultline.sources.datasets import PRIORITIES, QUEUES, TYPES, with_views
@@ -206,12 +206,12 @@ NORMAL = "regexp_replace(regexp_replace(trim(lower({c})), '\\s+', ' ', 'g'), '^[
 
 @query("b09_clean_text", "SELECT doc_id, " + CLEAN.format(c="text") + " AS cleaned FROM documents")
 def _(spark, d):
-    return ds.table(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+    return spread(ds.table(spark, d, "documents")).select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("b10_preprocess_tickets", with_views("SELECT doc_id, " + CLEAN.format(c="subject || ' ' || body") + ' AS ticket_text, "type", queue, priority, "language", answer FROM tickets WHERE length(' + CLEAN.format(c="subject || ' ' || body") + ") > 0", "tickets"))
 def _(spark, d):
-    return tk.preprocess_tickets(ds.tickets(spark, d))
+    return tk.preprocess_tickets(spread(ds.tickets(spark, d)))
 
 
 @query("b11_normalize_text", "SELECT doc_id, " + NORMAL.format(c="text") + " AS normal FROM documents")
@@ -456,7 +456,7 @@ def _(spark, d):
 
 @query("d29_duplicate_conflicts", with_views("SELECT text, count(*) AS copies, count(DISTINCT queue) AS label_count, string_agg(DISTINCT queue, ', ' ORDER BY queue) AS labels, count(DISTINCT queue) > 1 AS conflicting FROM (SELECT queue, " + NORMAL.format(c="subject || ' ' || body") + " AS text FROM tickets) WHERE text <> '' GROUP BY text HAVING count(*) > 1", "tickets"))
 def _(spark, d):
-    return ql.duplicate_conflicts(ds.tickets(spark, d), normalize_text(F.concat_ws(" ", "subject", "body")), "queue")
+    return ql.duplicate_conflicts(spread(ds.tickets(spark, d)), normalize_text(F.concat_ws(" ", "subject", "body")), "queue")
 
 
 @query("d32_cascade_impact", with_views("""SELECT count(*) AS rows, round(avg(CAST(true_type = predicted_type AS INTEGER)), 6) AS upstream_accuracy, round(avg(CAST(queue_from_true_type = true_queue AS INTEGER)), 6) AS accuracy_true_upstream, round(avg(CAST(queue_from_predicted_type = true_queue AS INTEGER)), 6) AS accuracy_predicted_upstream,

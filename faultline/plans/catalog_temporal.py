@@ -135,7 +135,7 @@ def zscored(spark, d):
 def phase_pairs(spark, d, make, *columns):
     f = make(ds.faults(spark, d))
     keep = ["fault_id", "service", "phase", "phase_start", "phase_end", *columns]
-    return tj.interval_join(zscored(spark, d), f.select(*keep), KEY, "ts", "phase_start", "phase_end")
+    return materialize(tj.interval_join(materialize(zscored(spark, d)), f.select(*keep), KEY, "ts", "phase_start", "phase_end"))
 
 
 def phases(f):
@@ -162,7 +162,7 @@ def bands(f):
 
 @query("c11_d24_prefault_bands", with_views(f"SELECT fault_id, metric, phase, n, {rnd('mean, median, mad, anomaly_rate')} FROM (SELECT fault_id, metric, phase, count(value) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, mad(value) AS mad, avg(CASE WHEN abs(z) > 3 THEN 1 ELSE 0 END) AS anomaly_rate FROM bd GROUP BY 1, 2, 3)", "telemetry", "faults", zp=ZP_SQL, bd=BAND_SQL))
 def _(spark, d):
-    pairs = materialize(phase_pairs(spark, d, bands))
+    pairs = phase_pairs(spark, d, bands)
     return rounded(cor.band_statistics(pairs, ["fault_id", "metric", "phase"]))
 
 

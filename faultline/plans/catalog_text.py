@@ -8,7 +8,7 @@ from faultline.functions.text import normalize_text
 from faultline.operators import similarity as sim
 from faultline.plans.catalog_tables import NORMAL
 from faultline.plans.registry import query, rnd, rounded
-from faultline.session import materialize
+from faultline.session import materialize, spread
 from faultline.sources import datasets as ds
 from faultline.sources.datasets import with_views
 
@@ -33,8 +33,8 @@ def text_sql(body: str, **extra: str) -> str:
 
 
 def texts(spark, d):
-    t = ds.tickets(spark, d)
-    return t.select(F.col("doc_id").alias("id"), F.col("queue").alias("label"), normalize_text(F.concat_ws(" ", "subject", "body")).alias("t"))
+    t = spread(ds.table(spark, d, "documents"))
+    return ds.as_tickets(t).select(F.col("doc_id").alias("id"), F.col("queue").alias("label"), normalize_text(F.concat_ws(" ", "subject", "body")).alias("t"))
 
 
 def weights(spark, d):

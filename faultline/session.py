@@ -50,10 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a result read by several
-    downstream plans is computed once and survives the loss of executors."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage with a table written to the shared folder, so that a result read by
+    several downstream plans is computed once, survives the loss of executors, is read by
+    column and gives the planner its true size."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work (text parsing) to all cores when the input comes in fewer
+    pieces than there are cores, as one small file does. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 _shipped: set[str] = set()

@@ -136,8 +136,11 @@ def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_tickets(table(spark, sf_dir, "documents"))
+
+
+def as_tickets(d: DataFrame) -> DataFrame:
     """Raw tickets from documents: first line is the subject, the rest the body."""
-    d = table(spark, sf_dir, "documents")
     subject = F.substring_index("text", "\n", 1)
     by_language = F.create_map(*[F.lit(x) for pair in zip(["en", "fr", "de", "es"], TYPES) for x in pair])
     return d.select(
