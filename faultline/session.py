@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,11 +37,14 @@ def max_group_rows(spark: SparkSession) -> int:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a scratch folder only where none is
-    configured (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``. A scratch folder of this machine only where
+    driver and executors are one process; anywhere else executors would not see it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {context.master} share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -52,10 +56,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared folder, so that a result read by
     several downstream plans is computed once, survives the loss of executors, is read by
-    column and gives the planner its true size."""
+    column and gives the planner its true size. ``discard`` deletes it when its last reader is done."""
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step.step_path = path
+    return step
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for step in steps:
+        jvm = step.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(step.step_path)
+        path.getFileSystem(step.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
