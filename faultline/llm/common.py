@@ -23,11 +23,11 @@ BROADCAST_ROWS = 1_000_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut record batches where the text in ``column`` passes PIECE_BYTES."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches where the text in ``column`` passes ``limit``."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        group = (np.cumsum(sizes) - sizes) // PIECE_BYTES
+        group = (np.cumsum(sizes) - sizes) // limit
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:]):
             if end > start:

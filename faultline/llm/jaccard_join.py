@@ -7,10 +7,11 @@ How many segments get e = 1 is chosen per band by expected cost. Records near a
 band below, in which a smaller partner may lie.
 
 Sets that share a segment signature form a bucket. No bucket is expanded into all its pairs: small ones (SMALL sets) are
-compared in full, larger ones only with their smallest id r. What is left are pairs of which one is not linked to r. With
-D(x) the difference of x and r, such a pair shares at least c >= 1 elements of D, by the triangle inequality, so a prefix of
-D(x), shingles outside r first, keys new buckets, which lack r and go through the same step until none is left. Every
-comparison is an exact set intersection. Components come from large-star/small-star rounds on the verified links.
+compared in full, larger ones only with one of them, r. What is left are pairs of which one is not linked to r. With
+D(x) the difference of x and r, |x xor y| is |D(x)| + |D(y)| minus twice what D(x) and D(y) share, so such a pair shares at least
+some elements of D, and one of the rarest few of both: these key new buckets, which lack r and go through the same step, or,
+up to FEW members, through a test of each pair's sizes and positions. Every comparison is an exact set intersection.
+Components come from large-star/small-star rounds on the verified links.
 
 Edge cases: null or blank text has no shingles, is linked with nothing and is its own component. With fewer words than a
 shingle has, the whole sequence is the one shingle. Equal sets are folded first (they are linked, J = 1). Rows with a null id
@@ -32,8 +33,9 @@ from faultline.llm.common import Words, bytes_of, mix, pieces, runs, signed, siz
 from faultline.session import discard, materialize, ship_package
 
 #: Two sets link when 100 * intersection >= 90 * union, that is 19 * |x xor y| <= |x| + |y|.
-#: A bucket of at most so many sets is compared in full.
-SMALL = 12
+#: A bucket of at most SMALL sets that share a segment is compared in full, one of at most FEW that share a difference as far as its
+#: members can link.
+SMALL, FEW = 12, 128
 #: Upper size of a band over its lower size: about 0.9 ** -3, so that most sets need one scheme.
 BAND = 1.37
 #: For the cost model: the chance that a shingle of one set is in another, and sets a segment is compared with.
@@ -148,53 +150,92 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFram
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, star) to verified links (a, b) and, of star pairs, the buckets (key, a = id, open) that D(b) opens."""
+    """pairs (a, b, star) to verified links (a, b) and, of star pairs, the difference of id to its leader a: its elements, how many
+    of them a partner may be found by (take), the size of the set, and whether id is not linked to a (open)."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.join(right, "b").join(left, "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links, keys = ([], []), ([], [], [])
+            links, stars = ([], []), ([], [], [], [], [], [])
             for a, b, star, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "star", "sa", "sb"))):
                 x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                common = np.intersect1d(x, y, assume_unique=True)
-                differ = len(x) + len(y) - 2 * len(common)
-                linked = 19 * differ <= len(x) + len(y)
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                differ = len(both) - 2 * common
+                linked = 19 * differ <= len(both)
                 if linked:
                     links[0].append(a)
                     links[1].append(b)
                 if star:
                     shared = (len(x) + 19 * differ - len(y)) // 38 + 1 if linked else -(-(9 * differ - len(y)) // 9)
-                    prefix = differ - max(shared, 1) + 1
-                    if prefix > 0:
-                        added = np.setdiff1d(y, common, assume_unique=True)
-                        removed = np.setdiff1d(x, common, assume_unique=True)
-                        elements = np.concatenate([added, removed])[:prefix]
-                        keys[0].extend(signed(mix(elements, np.full(len(elements), np.int64(a).astype(np.uint64)))).tolist())
-                        keys[1].extend([b] * len(elements))
-                        keys[2].extend([not linked] * len(elements))
+                    take = differ - max(shared, 1) + 1
+                    if take > 0:
+                        for column, value in zip(stars, (a, b, len(y), take, not linked, signed(np.setxor1d(x, y, assume_unique=True)))):
+                            column.append(value)
+            n, m = len(links[0]), len(stars[0])
             yield pa.record_batch(
                 {
-                    "a": pa.array(links[0] + keys[1], pa.int64()),
-                    "b": pa.array(links[1] + [None] * len(keys[1]), pa.int64()),
-                    "key": pa.array([None] * len(links[0]) + keys[0], pa.int64()),
-                    "open": pa.array([None] * len(links[0]) + keys[2], pa.bool_()),
+                    "a": pa.array(links[0] + stars[0], pa.int64()),
+                    "b": pa.array(links[1] + [None] * m, pa.int64()),
+                    "id": pa.array([None] * n + stars[1], pa.int64()),
+                    "size": pa.array([None] * n + stars[2], pa.int64()),
+                    "take": pa.array([None] * n + stars[3], pa.int32()),
+                    "open": pa.array([None] * n + stars[4], pa.bool_()),
+                    "elements": pa.array([None] * n + stars[5], pa.list_(pa.int64())),
                 }
             )
 
-    return rows.select("a", "b", "star", "sa", "sb").mapInArrow(check, "a long, b long, key long, open boolean")
-
-
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """Distinct pairs to compare: all of a small bucket, those with the smallest id of a larger one."""
-    groups = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    member = buckets.join(groups, "key")
-    star = member.where((F.col("n") > SMALL) & (F.col("id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("id").alias("b"), F.lit(True).alias("star"))
-    few = member.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    pair = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    small = few.select(F.explode(pair).alias("p")).select("p.a", "p.b", F.lit(False).alias("star"))
-    return star.unionByName(small).groupBy("a", "b").agg(F.max("star").alias("star"))
+    return rows.select("a", "b", "star", "sa", "sb").mapInArrow(check, "a long, b long, id long, size long, take int, open boolean, elements array<long>")
+
+
+def _opened(checked: DataFrame) -> DataFrame:
+    """New buckets (key, id, size, differ, at, open): the ``take`` rarest elements of each difference, rarest within its star first.
+    ``at`` is how many rarer ones an id has before."""
+    star = checked.where("elements IS NOT NULL").select("a", "id", "size", "take", "open", F.size("elements").alias("differ"), "elements")
+    each = star.select("a", "id", "open", F.explode("elements").alias("e"))
+    often = each.groupBy("a", "e").agg(F.count("*").alias("f"), F.max("open").alias("any")).where("f > 1")
+    common = each.join(often, ["a", "e"]).groupBy("a", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e", "any"))).alias("common"))
+    alone = F.col("differ") - F.size("common")  # elements no other id of the star has come first
+    first = star.drop("elements").join(common, ["a", "id"]).select("a", "id", "size", "differ", "open", alone.alias("alone"), F.posexplode(F.slice("common", 1, F.greatest(F.col("take") - alone, F.lit(0)))).alias("k", "c"))
+    member = first.where("c.any").select(F.xxhash64("a", "c.e").alias("key"), "id", "size", "differ", (F.col("alone") + F.col("k")).alias("at"), "open")
+    # A linked pair shares at least (phi(x) + phi(y)) / 38 elements, and at most what either has from the bucket's element on.
+    phi, room = 19 * F.col("differ") - F.col("size"), 38 * (F.col("differ") - F.col("at"))
+    bounds = member.groupBy("key").agg(F.min(phi).alias("low"), F.max(room - phi).alias("high"))
+    return member.join(bounds, "key").where((phi + F.col("low") <= room) & (phi <= F.col("high"))).select(*member.columns)
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's members that can link: those whose differences can still share enough behind the bucket's element."""
+    for batch in batches:
+        found_a, found_b = [], []
+        for members in batch.column("members").to_pylist():
+            ids = np.array([m["id"] for m in members])
+            x, y = np.triu_indices(len(ids), 1)
+            if members[0]["differ"] is not None:
+                size, differ, at, unlinked = (np.array([m[c] for m in members]) for c in ("size", "differ", "at", "open"))
+                left = differ - at
+                need = np.maximum(-(-(19 * (differ[x] + differ[y]) - size[x] - size[y]) // 38), 1)
+                can = (np.minimum(left[x], left[y]) >= need) & (unlinked[x] | unlinked[y])
+                x, y = x[can], y[can]
+            found_a.append(np.minimum(ids[x], ids[y]))
+            found_b.append(np.maximum(ids[x], ids[y]))
+        if found_a:
+            yield pa.record_batch({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
+
+
+def _pairs(buckets: DataFrame, few: int) -> DataFrame:
+    """Distinct pairs to compare: those of a bucket of up to ``few`` sets that can link; of a larger one those with its leader, the
+    set that links by nearness to the last leader alone if any does."""
+    nearest = F.struct((19 * F.col("differ") - F.col("size")).alias("phi"), "id")
+    groups = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(nearest)["id"].alias("leader"), F.max(F.coalesce("open", F.lit(True))).alias("any")).where("n > 1 AND any")
+    member = buckets.join(groups.drop("any"), "key")
+    star = member.where((F.col("n") > few) & (F.col("id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("id").alias("b"), F.lit(True).alias("star"))
+    small = member.where(F.col("n") <= few).groupBy("key").agg(F.collect_list(F.struct("id", "size", "differ", "at", "open")).alias("members"))
+    close = small.select("members").mapInArrow(_close, "a long, b long").withColumn("star", F.lit(False))
+    return star.unionByName(close).groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,21 +270,21 @@ def near_classes(docs: DataFrame, text: str = "text", width: int = 3) -> DataFra
     ids = buckets.select(F.col("id").alias("set_id")).distinct()
     wanted = materialize(described.where("doc_id IS NOT NULL").join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
     sets = materialize(_sets(docs, sized(wanted), text, width))
-    links = None
-    while buckets.limit(1).count():
-        checked = materialize(_compare(_pairs(buckets), sets))
-        found = checked.where("b IS NOT NULL").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        opened = checked.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "open").distinct()
-        keys = opened.groupBy("key").agg(F.max("open").alias("any"), F.min("id").alias("low"), F.max("id").alias("high")).where("any AND low < high").select("key")
-        discard(buckets)
-        buckets = materialize(opened.join(keys, "key").select("key", "id").distinct())
+    none = {"size": "long", "differ": "int", "at": "int", "open": "boolean"}
+    buckets = buckets.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    found, few = [], SMALL
+    while True:
+        checked = materialize(_compare(_pairs(buckets, few), sets))
+        found.append(checked.where("b IS NOT NULL").select("a", "b"))
+        if not checked.where("elements IS NOT NULL").limit(1).count():
+            break
+        buckets, few = materialize(_opened(checked)), FEW
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
     plain = described.select("doc_id", "n_shingles", "set_id")
-    if links is None:
-        rooted = plain.withColumn("root", F.col("set_id"))
-    else:
-        root = components(links)
-        rooted = plain.join(sized(root.withColumnRenamed("id", "set_id")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    root = components(links)
+    rooted = plain.join(sized(root.withColumnRenamed("id", "set_id")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rooted = materialize(rooted.select("doc_id", "n_shingles", "root"))
     first = rooted.where("doc_id IS NOT NULL AND root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
