@@ -67,13 +67,19 @@ class Block:
 
     def __init__(self, items: list[tuple[object, str]]):
         self.ids, self.words, self.templates = [], [], []
-        for item, text in items:
-            words = text.encode().split()
-            template = [canonical(w, None, i == 0 or words[i - 1].endswith(_END)) for i, w in enumerate(words)]
+        tokens = [(item, text.encode().split()) for item, text in items]
+        starts = [[i == 0 or words[i - 1].endswith(_END) for i in range(len(words))] for _, words in tokens]
+        inner = [w for (_, words), opens in zip(tokens, starts) for w, o in zip(words, opens) if not o]
+        forms = {(w, canonical(w)) for w in inner}
+        plain = {form for _, form in forms}
+        # A word that opens a sentence is a name if it is one elsewhere and never an ordinary word.
+        names = {canonical(w, None, True) for w, form in forms if form == b"<name>"} - plain
+        for (item, words), opens in zip(tokens, starts):
             if len(words) >= 3:
                 self.ids.append(item)
                 self.words.append(words)
-                self.templates.append(template)
+                template = [canonical(w, None, o) for w, o in zip(words, opens)]
+                self.templates.append([b"<name>" if t in names else t for t in template])
         self.literals = frozenset(t for template in self.templates for t in template if not t.startswith(b"<"))
         self.slots = [[i for i, t in enumerate(template) if t in (b"<num>", b"<unit>", b"<name>")] for template in self.templates]
         found: defaultdict[int, list[tuple[int, int, int]]] = defaultdict(list)  # width: (hash, item, offset)

@@ -26,7 +26,7 @@ from faultline.session import ship_package
 # Element kinds as the HTML standard has them (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas svg math datalist select param source track area".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas svg math datalist param source track area".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol optgroup option section summary ul table caption thead tbody tfoot tr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 pre hr blockquote ul ol dl table figure".split())
 #: A start tag closes these open elements, up to the barrier elements.

@@ -75,12 +75,16 @@ def host_reputation(outcomes: DataFrame, suffixes: list[str]) -> DataFrame:
     total = tops.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = total["bad"] / total["n"] if total["n"] else 0.0
     top, mid, low = (_strength(level, mean) for level in (tops, domains, hosts))
-    tops = tops.select("suffix", ((F.lit(top * mean) + F.col("bad")) / (top + F.col("n"))).alias("up"))
-    domains = domains.join(tops, "suffix").select("domain", "suffix", ((mid * F.col("up") + F.col("bad")) / (mid + F.col("n"))).alias("up"))
-    a, b = low * F.col("up") + F.col("bad"), low * (1 - F.col("up")) + F.col("n") - F.col("bad")
+    # The level above a group is taken without the group's own outcomes: they would count twice.
+    tops = tops.select("suffix", F.col("n").alias("n_top"), F.col("bad").alias("bad_top"))
+    up = (F.lit(top * mean) + F.col("bad_top") - F.col("bad")) / (top + F.col("n_top") - F.col("n"))
+    domains = domains.join(tops, "suffix").select("domain", "suffix", F.col("n").alias("n_mid"), F.col("bad").alias("bad_mid"), up.alias("up"))
+    hosts = hosts.join(domains, ["domain", "suffix"])
+    prior = (mid * F.col("up") + F.col("bad_mid") - F.col("bad")) / (mid + F.col("n_mid") - F.col("n"))
+    a, b = low * prior + F.col("bad"), low * (1 - prior) + F.col("n") - F.col("bad")
     rate = a / (a + b)
     bound = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (a + b + 1))
-    return hosts.join(domains, ["domain", "suffix"]).select("host", rate.alias("rate"), bound.alias("bound"))
+    return hosts.select("host", rate.alias("rate"), bound.alias("bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], suffixes: list[str], page_key: Column, outcome_key: str = "doc_id") -> DataFrame:
