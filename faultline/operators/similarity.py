@@ -20,7 +20,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.skew import join_on
+from faultline.operators.skew import join_on, range_numbered
 from faultline.session import materialize, ship_package, spread
 
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -76,22 +76,17 @@ def tfidf(
     base: Column,
     grams: Callable[[Column], Column] = word_grams,
     min_df: int = 2,
-    max_features: int = 40_000,
+    max_features: int | None = None,
 ) -> DataFrame:
-    """(id, term, idx, tf, weight): sublinear tf, smoothed idf, unit length per document.
+    """(id, term, idx, tf, weight): sublinear tf, smoothed idf, unit length per document. idx numbers the terms, rare ones first.
 
-    The vocabulary has at most ``max_features`` rows: the terms used most often.
+    Every term of at least ``min_df`` documents counts; ``max_features`` keeps only the terms used most often.
     """
     counts = materialize(term_counts(df, id_col, base, grams))
-    vocabulary = (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_uses"))
-        .filter(F.col("df") >= min_df)
-        .orderBy(F.col("_uses").desc(), "term")
-        .limit(max_features)
-    )
-    rarest_first = Window.orderBy("df", "term")  # at most max_features rows
-    vocabulary = vocabulary.select("term", "df", (F.row_number().over(rarest_first) - 1).alias("idx"))
+    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_uses")).filter(F.col("df") >= min_df)
+    if max_features is not None:
+        vocabulary = vocabulary.orderBy(F.col("_uses").desc(), "term").limit(max_features)
+    vocabulary = range_numbered(vocabulary.select("term", "df"), ["df", "term"], "idx")
     n = df.agg(F.count(F.lit(1))).scalar()
     raw = (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
     weighted = counts.join(vocabulary, "term").withColumn("_w", raw)

@@ -2,7 +2,7 @@
 
 A window partitioned by a key puts the whole key in one task. Here the keys are
 measured first. Keys below the row limit keep the plain one-shuffle window. The rows
-of larger keys are cut into slices of their ordering column, and what a slice needs
+of larger keys are cut into slices of their whole order, and what a slice needs
 from its neighbours is added explicitly:
 
 * row frames (lag, rolling statistics): the few edge rows of the adjacent slices;
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.session import max_group_rows
+from faultline.session import materialize, max_group_rows
 
 SLICE, HEAVY, HALO, POSITION = "_slice", "_heavy", "_halo", "_position"
 MAX_SLICES = 10_000
@@ -94,12 +94,11 @@ class Timeline:
             flagged = flagged.withColumn(HEAVY, F.coalesce(HEAVY, F.lit(False)))
         else:
             flagged = df.withColumn(HEAVY, F.lit(True))
-        flagged = flagged.withColumn(
-            POSITION, F.coalesce(as_position(df, self.order[0]), F.lit(float("-inf")))
-        )
         total = heavy.agg(F.sum("_rows")).first()[0]
-        cut = range_bucket(flagged, POSITION, total, SLICE, flagged.filter(HEAVY))
-        return cut.withColumn(SLICE, F.when(F.col(HEAVY), F.col(SLICE)).otherwise(F.lit(0))).drop(POSITION)
+        slices = max(2, math.ceil(total / max_group_rows(df.sparkSession)))
+        # Ranges of the whole order: rows that share a timestamp are cut as well. Written, as bounds are drawn anew by each reader.
+        cut = flagged.filter(HEAVY).repartitionByRange(slices, *self.keys, *self._sorted(False)).withColumn(SLICE, F.spark_partition_id())
+        return materialize(cut).unionByName(flagged.filter(~F.col(HEAVY)).withColumn(SLICE, F.lit(0)))
 
     def _with(self, df: DataFrame) -> Timeline:
         other = copy.copy(self)
@@ -115,6 +114,10 @@ class Timeline:
     def columns(self, columns: dict[str, Column]) -> Timeline:
         return self._with(self.df.withColumns(columns))
 
+    def columns_of(self, df: DataFrame) -> Timeline:
+        """The same line over ``df``, its rows with more columns."""
+        return self._with(df)
+
     def frames(self, *stages: Callable, before: int = 0, after: int = 0) -> Timeline:
         """Columns over row frames that reach at most ``before`` rows back and ``after``
         rows ahead in total. Each stage maps the window to {name: Column}."""
@@ -196,8 +199,12 @@ class Timeline:
         return self.df.drop(SLICE, HEAVY, *drop)
 
 
-def group_totals(df: DataFrame, keys: Iterable[str], aggregates: list[Column]) -> DataFrame:
-    """Aggregates of each group attached to its rows. A join to the (pre-aggregated)
-    totals, not a window, so a hot key is not gathered in one task."""
-    keys = list(keys)
-    return join_on(df, df.groupBy(*keys).agg(*aggregates), keys, "left")
+def range_numbered(df: DataFrame, order: list[str], output: str) -> DataFrame:
+    """Adds ``output``: 0, 1, 2 ... in the given total order. The rows are dealt into ranges of the whole order, numbered
+    inside each range, and moved by the rows of the ranges before, of which there is one count for each partition."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).join(offsets, "_part")
+    return numbered.withColumn(output, F.col("_offset") + F.col("_row")).drop("_part", "_row", "_offset")
+

@@ -18,11 +18,11 @@ KIND, AT, TIE = "_kind", "_at", "_tie"
 
 def _merge(points: DataFrame, events: DataFrame, keys: list[str], ts: str, event_ts: str, event: Column, tie: str, events_first: bool) -> DataFrame:
     p = points.select(
-        *keys, F.col(ts).alias(AT), F.lit(1 if events_first else 0).alias(KIND), F.lit(0).cast("long").alias(TIE),
+        *keys, F.col(ts).alias(AT), F.lit(1 if events_first else 0).alias(KIND), F.lit(None).cast(events.schema[tie].dataType).alias(TIE),
         F.struct(*points.columns).alias("_point"),
     )
     e = events.select(
-        *keys, F.col(event_ts).alias(AT), F.lit(0 if events_first else 1).alias(KIND), F.col(tie).cast("long").alias(TIE),
+        *keys, F.col(event_ts).alias(AT), F.lit(0 if events_first else 1).alias(KIND), F.col(tie).alias(TIE),
         event.alias("_event"),
     )
     return p.unionByName(e, allowMissingColumns=True)

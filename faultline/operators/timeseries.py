@@ -120,67 +120,57 @@ def robust_z(value: Column, median: Column, mad: Column, on_zero_mad: str = "zer
     return F.coalesce(z, F.lit(0.0)) if on_zero_mad == "zero" else z
 
 
-def ewma(column: str, output: str, keys: list[str], order: list[str], span: int = EWMA_SPAN, rows: int = EWMA_BLOCK):
-    """Stages of the exponentially weighted mean without bias adjustment.
+def ewma(line: Timeline, column: str, output: str, span: int = EWMA_SPAN, rows: int = EWMA_BLOCK) -> Timeline:
+    """Exponentially weighted mean without bias adjustment, exact for any number of nulls and slices.
 
-    The recursion is solved in blocks of ``rows`` known values: a scaled running sum inside
-    the block plus the decayed result of the block before. Terms older than two blocks
-    weigh less than double precision resolves. Every pass is linear and stays in the
-    partitioning of the series.
+    Inside a slice the recursion is solved in blocks of ``rows`` known values: a scaled running sum in the block plus the decayed
+    result of the block before (older ones weigh less than double precision resolves). What a slice starts with is the mean at the end
+    of the slice before, found by one fold over the slices of a key; the first one starts with the first known value.
     """
     alpha = 2.0 / (span + 1)
     q, place = F.lit(1 - alpha), F.col("_place")
-
-    def number(w):
-        return {"_known": F.count(column).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
-
-    def placed(_w):
-        first = F.col("_known") <= 1
-        share = F.when(first, F.col(column)).otherwise(F.col(column) * F.lit(alpha))
-        return {
-            "_place": F.pmod(F.col("_known") - 1, F.lit(rows)).cast("double"),
-            "_block": F.floor((F.col("_known") - 1) / rows),
-            "_share": F.coalesce(share, F.lit(0.0)),
-        }
-
-    def inside(w):
-        block = Window.partitionBy(*keys, SLICE, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return {"_local": F.pow(q, place) * F.sum(F.col("_share") * F.pow(q, -place)).over(block)}
-
-    def carried(source: str, target: str):
-        def stage(w):
-            earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-            ends = F.when(F.lead("_block").over(w) > F.col("_block"), F.col(source))
-            return {"_end": ends} if target == "" else {target: F.last("_end", ignorenulls=True).over(earlier)}
-
-        return stage
-
-    total = lambda carry: F.col("_local") + F.pow(q, place + 1) * F.coalesce(F.col(carry), F.lit(0.0))
-    return [
-        number,
-        placed,
-        inside,
-        carried("_local", ""),
-        carried("_local", "_carry"),
-        lambda _w: {"_two": total("_carry")},
-        carried("_two", ""),
-        carried("_two", "_carry"),
-        lambda _w: {output: F.when(F.col("_known") > 0, total("_carry"))},
-    ]
+    w = line.window()
+    so_far, earlier = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    block = Window.partitionBy(*line.keys, SLICE, "_block").orderBy(*line.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.col("_local") + F.pow(q, place + 1) * F.coalesce(F.col("_carry"), F.lit(0.0))
+    df = line.df.withColumn("_known", F.count(column).over(so_far))
+    df = df.withColumns({"_place": F.pmod(F.col("_known") - 1, F.lit(rows)).cast("double"), "_block": F.floor((F.col("_known") - 1) / rows), "_share": F.coalesce(F.col(column) * F.lit(alpha), F.lit(0.0))})
+    df = df.withColumn("_local", F.pow(q, place) * F.sum(F.col("_share") * F.pow(q, -place)).over(block))
+    for source, target in (("_local", "_two"), ("_two", "_inside")):
+        df = df.withColumn("_end", F.when(F.lead("_block").over(w) > F.col("_block"), F.col(source)))
+        df = df.withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).withColumn(target, total)
+    df = df.withColumn("_inside", F.when(F.col("_known") > 0, F.col("_inside")).otherwise(F.lit(0.0)))
+    if line.sliced:
+        at = F.struct(*line.order)
+        ends = df.groupBy(*line.keys, SLICE).agg(F.max_by("_inside", at).alias("inside"), F.max("_known").alias("n"), F.min_by(column, F.when(F.col(column).isNotNull(), at)).alias("first"))
+        slices = ends.groupBy(*line.keys).agg(F.array_sort(F.collect_list(F.struct(SLICE, "inside", "n", "first"))).alias("_all"))  # rows of a key / row limit
+
+        def step(done: Column, s: Column) -> Column:
+            start = F.coalesce(done["mean"], s["first"])
+            after = F.when(s["n"] > 0, s["inside"] + F.pow(q, s["n"]) * start).otherwise(done["mean"])
+            return F.struct(F.concat(done["starts"], F.array(F.struct(s[SLICE].alias(SLICE), done["mean"].alias("_start")))).alias("starts"), after.alias("mean"))
+
+        none = F.struct(F.array().cast(f"array<struct<{SLICE}:int,_start:double>>").alias("starts"), F.lit(None).cast("double").alias("mean"))
+        starts = slices.select(*line.keys, F.explode(F.aggregate("_all", none, step)["starts"]).alias("_s")).select(*line.keys, "_s.*")
+        df = join_on(df, starts, [*line.keys, SLICE], "left")
+    else:
+        df = df.withColumn("_start", F.lit(None).cast("double"))
+    start = F.coalesce("_start", F.first(column, ignorenulls=True).over(so_far).cast("double"))
+    df = df.withColumn("_start", start).withColumn(output, F.when(F.col("_start").isNotNull(), F.col("_inside") + F.pow(q, F.col("_known")) * F.col("_start")))
+    return line.columns_of(df.drop("_known", "_place", "_block", "_share", "_local", "_end", "_carry", "_two", "_inside", "_start"))
 
 
 def detectors(line: Timeline, value: str = "value", keys: list[str] | None = None) -> DataFrame:
     """Robust z, rolling MAD and EWMA detectors with scores and 0/1 predictions."""
     median, mad, deviation = F.col("_median"), F.col("_mad"), F.col("median_deviation")
-    line = line.frames(
+    line = ewma(line, value, "ewma").frames(
         rolling(value, ROLLING, ["median", "q25", "q75", "std"], MINIMUM, prefix=""),
         *rolling_mad(value, ROLLING, MINIMUM, "_mad"),
-        *ewma(value, "ewma", line.keys, line.order),
         lambda w: {"ewma_residual": F.col(value) - F.col("ewma"), "_before": F.lag(value).over(w)},
         rolling("ewma_residual", ROLLING, ["std"], MINIMUM, prefix="_residual"),
-        before=2 * EWMA_BLOCK + ROLLING,
+        before=ROLLING,
     )
-    df = line.columns({"median_deviation": F.col(value) - median}).result("_frame", "_centre", "_known", "_place", "_block", "_share", "_local", "_end", "_carry", "_two")
+    df = line.columns({"median_deviation": F.col(value) - median}).result("_frame", "_centre")
     keys = keys if keys is not None else line.keys
     spread = quantiles_by(df, keys, {"_series_std": ("_residual_std", 0.5)})
     df = join_on(df, spread, keys, "left")

@@ -12,7 +12,6 @@ from faultline.session import materialize, spread
 from faultline.sources import datasets as ds
 from faultline.sources.datasets import with_views
 
-MAX = 20_000
 TOKENS = "regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 TEXT_SQL = "SELECT doc_id AS id, queue AS label, " + NORMAL.format(c="subject || ' ' || body") + " AS t FROM tickets"
 TF_SQL = {
@@ -20,7 +19,7 @@ TF_SQL = {
     "tk": "SELECT id, " + TOKENS.format(t="t") + " AS w FROM tx",
     "gr": "SELECT id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tk",
     "tf": "SELECT id, term, count(*) AS tf FROM gr GROUP BY 1, 2",
-    "vc": f"SELECT term, df FROM (SELECT term, count(*) AS df, sum(tf) AS u FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY u DESC, term LIMIT {MAX})",
+    "vc": "SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2",
     "wt": "SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM tx)) / (1 + df)) + 1) AS w FROM tf JOIN vc USING (term)",
     "tw": "SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM wt",
 }
@@ -38,7 +37,7 @@ def texts(spark, d):
 
 
 def weights(spark, d):
-    return materialize(sim.tfidf(texts(spark, d), "id", sim.tokens(F.col("t")), max_features=MAX))
+    return materialize(sim.tfidf(texts(spark, d), "id", sim.tokens(F.col("t"))))
 
 
 def labels(spark, d):

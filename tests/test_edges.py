@@ -14,7 +14,7 @@ from faultline.operators import timeseries as tsr
 from faultline.operators import tickets as tk
 from faultline.operators.quality import duplicate_conflicts
 from faultline.operators.quantiles import quantiles_by
-from faultline.operators.skew import Timeline
+from faultline.operators.skew import Timeline, range_numbered
 
 T0 = datetime(2024, 1, 1)
 
@@ -137,3 +137,49 @@ def test_required_columns_and_empty_joins_fail(spark):
         require_columns(df, ["nope"])
     with pytest.raises(ValueError):
         require_common_keys(df, series(spark, [1.0], "b"), ["k"])
+
+
+def test_one_timestamp_is_cut_into_slices(tight):
+    """3,000 rows of one key with one timestamp: many slices, and the rows of the plain window."""
+    from pyspark.sql import Window
+
+    df = tight.range(3000).select(F.lit("a").alias("k"), F.lit(1.0).alias("t"), F.col("id"), (F.col("id") % 7).alias("v"))
+    tight.conf.set("spark.faultline.maxGroupRows", "300")
+    line = Timeline(df, ["k"], ["t", "id"])
+    sizes = [r["count"] for r in line.df.groupBy("_slice").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 900
+    got = line.running({"s": ("sum", F.col("v"))}).result().select("id", "s")
+    want = df.select("id", F.sum("v").over(Window.partitionBy("k").orderBy("id")).alias("s"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_as_of_joins_keep_text_ids(spark):
+    points = spark.createDataFrame([("a", "2024-01-01 00:00"), ("a", "2024-01-01 00:10")], "k string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.createDataFrame([("a", "2024-01-01 00:05", "INC-0002"), ("a", "2024-01-01 00:05", "INC-0001")], "k string, start string, name string").withColumn("start", F.col("start").cast("timestamp"))
+    ahead = {r["ts"].minute: r["next_name"] for r in tj.next_event(points, events, ["k"], "ts", "start", "name").collect()}
+    near = {r["ts"].minute: r["nearest_name"] for r in tj.nearest_event(points, events, ["k"], "ts", "start", "name", 5).collect()}
+    assert ahead == {0: "INC-0001", 10: None} and near == {0: "INC-0001", 10: "INC-0002"}
+
+
+def test_numbers_over_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("a"), F.concat(F.lit("t"), "id").alias("b"))
+    rows = range_numbered(df, ["a", "b"], "n").collect()
+    assert [(r["a"], r["b"]) for r in sorted(rows, key=lambda r: r["n"])] == sorted((i % 3, f"t{i}") for i in range(5000))
+    assert sorted(r["n"] for r in rows) == list(range(5000))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from faultline import session
+
+    def of(master, folder):
+        kept = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: kept[-1] if kept else None, setCheckpointDir=kept.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: folder))
+
+    assert session._shared_folder(of("spark://host:7077", "s3a://shared/x")) == "s3a://shared/x"
+    assert session._shared_folder(of("local[8]", None))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session._shared_folder(of(master, None))

@@ -12,22 +12,24 @@ from faultline.operators.skew import Timeline
 T0 = datetime(2024, 1, 1)
 
 
-def check(spark, n):
+def check(spark, n, known=1.0):
     rng = np.random.default_rng(5)
     values = rng.normal(50, 20, n)
-    rows = [("a", i, T0 + timedelta(minutes=i), float(v)) for i, v in enumerate(values)]
+    values[rng.random(n) >= known] = np.nan
+    rows = [("a", i, T0 + timedelta(minutes=i), None if np.isnan(v) else float(v)) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "k string, id long, ts timestamp_ntz, v double")
-    line = Timeline(df, ["k"], ["ts", "id"])
-    out = line.frames(*tsr.ewma("v", "e", line.keys, line.order), before=2 * tsr.EWMA_BLOCK).result()
+    out = tsr.ewma(Timeline(df, ["k"], ["ts", "id"]), "v", "e").result()
     got = out.select("id", "e").toPandas().sort_values("id")["e"].to_numpy()
-    want = pd.Series(values).ewm(span=20, adjust=False).mean().to_numpy()
-    assert got == pytest.approx(want, rel=1e-12)
+    want = pd.Series(values).ewm(span=20, adjust=False, ignore_na=True).mean().to_numpy()
+    assert got == pytest.approx(want, rel=1e-11, nan_ok=True)
 
 
-def test_plain(spark):
-    check(spark, 1500)
+@pytest.mark.parametrize("known", [1.0, 0.03])
+def test_plain(spark, known):
+    check(spark, 1500, known)
 
 
-def test_hot_key(tight):
-    tight.conf.set("spark.faultline.maxGroupRows", "700")
-    check(tight, 3000)
+@pytest.mark.parametrize("known", [1.0, 0.03])
+def test_hot_key(tight, known):
+    tight.conf.set("spark.faultline.maxGroupRows", "300")
+    check(tight, 3000, known)
