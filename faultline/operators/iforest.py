@@ -67,23 +67,27 @@ class IsolationForest:
         stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in self.features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         self.mean = {c: float(stats["m_" + c] or 0.0) for c in self.features}
         self.std = {c: float(stats["s_" + c] or 0.0) or 1.0 for c in self.features}
-        chosen = self._standard(df).orderBy(F.xxhash64(F.lit(self.seed), self.id_col), self.id_col).limit(SAMPLE * self.trees)
-        dealt = chosen.withColumn("tree", F.pmod(F.xxhash64(F.lit(self.seed + 1), self.id_col), F.lit(self.trees)).cast("int"))
+        # Every tree draws its own min(SAMPLE, n) rows: those with the smallest hash of (tree, id), bounded by the row count.
+        n = df.count()
+        share = min(1.0, (SAMPLE + 8 * math.sqrt(SAMPLE)) / max(n, 1))
+        bound = F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))
+        hashes = F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(self.seed), t, self.id_col).alias("h")))
+        dealt = self._standard(df).select(F.col(self.id_col).alias("_id"), "_x", F.explode(F.filter(hashes, lambda s: s["h"] <= bound)).alias("_s"))
         seed = self.seed
 
         def build(group: pd.DataFrame) -> pd.DataFrame:
             tree = int(group["tree"].iloc[0])
-            ordered = group.sort_values("_id")
+            ordered = group.sort_values(["h", "_id"]).head(SAMPLE)
             points = np.stack(ordered["_x"].to_list())
             grown = grow(points, np.random.default_rng(seed * 100_003 + tree))
             return pd.DataFrame([(tree, *grown)], columns=["tree", "feature", "cut", "left", "right", "depth"])
 
-        grown = dealt.select("tree", F.col(self.id_col).alias("_id"), "_x").groupBy("tree").applyInPandas(build, NODES)
+        grown = dealt.select("_s.*", "_id", "_x").groupBy("tree").applyInPandas(build, NODES)
         # At most `trees` rows with at most 511 nodes each.
         self.forest = [
             tuple(np.asarray(r[c]) for c in ("feature", "cut", "left", "right", "depth")) for r in grown.orderBy("tree").collect()
         ]
-        self.norm = expected_path(SAMPLE if chosen.count() >= SAMPLE * self.trees else max(2, round(chosen.count() / self.trees)))
+        self.norm = expected_path(max(2, min(SAMPLE, n)))
         scored = self.score(df)
         self.threshold = quantiles_by(scored, [], {"t": ("isolation_score", 1 - self.contamination)}).first()["t"]
         return self

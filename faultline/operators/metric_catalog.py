@@ -70,5 +70,5 @@ def select_candidates(inventory: DataFrame, period: str) -> DataFrame:
         rank = F.when(F.col("selection_reason") == r, priority).otherwise(rank)
     marked = inside.withColumn("selection_reason", reason).filter(F.col("selection_reason").isNotNull())
     marked = marked.withColumns({"_cap": cap, "priority": rank})
-    kept = top_k_by(marked, ["service", "selection_reason"], [F.col("filename"), F.col("path_in_archive")], 5, "_n").filter(F.col("_n") <= F.col("_cap"))
+    kept = top_k_by(marked, ["service", "selection_reason"], [F.col("filename"), F.col("path_in_archive")], max(max(per_service, for_system) for _, _, _, per_service, for_system, _ in RULES), "_n").filter(F.col("_n") <= F.col("_cap"))
     return kept.drop("_n", "_cap").orderBy("priority", "service", "filename")

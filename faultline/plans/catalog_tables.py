@@ -410,10 +410,10 @@ def _(spark, d):
     return rounded(ql.profile_columns(ds.ops_events(spark, d).select(*EVENT_COLS)))
 
 
-@query("d25_top_values", with_views("SELECT column_name, value, n, \"rank\", round(n / (SELECT count(*) FROM ops_events) * 100, 6) AS percent FROM (SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INTEGER) AS \"rank\" FROM (SELECT column_name, value, count(*) AS n FROM (SELECT 'path' AS column_name, path AS value FROM ops_events UNION ALL SELECT 'duration_ms', CASE WHEN duration_ms IS NULL THEN '<null>' ELSE 'known' END FROM ops_events) GROUP BY 1, 2)) WHERE \"rank\" <= 5", "ops_events"))
+@query("d25_top_values", with_views("SELECT column_name, value, n, \"rank\", round(n / (SELECT count(*) FROM ops_events) * 100, 6) AS percent FROM (SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INTEGER) AS \"rank\" FROM (SELECT column_name, value, count(*) AS n FROM (SELECT 'path' AS column_name, path AS value FROM ops_events UNION ALL SELECT 'duration_ms', CASE WHEN duration_ms IS NULL THEN '<null>' ELSE 'known' END FROM ops_events) GROUP BY 1, 2)) WHERE \"rank\" <= 20", "ops_events"))
 def _(spark, d):
     e = ds.ops_events(spark, d).select("path", F.when(F.col("duration_ms").isNotNull(), "known").alias("duration_ms"))
-    return rounded(ql.top_values(e, ["path", "duration_ms"], 5))
+    return rounded(ql.top_values(e, ["path", "duration_ms"], 20))
 
 
 @query("d25_profile_events", with_views("SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ops_events)) AS duplicates, count(*) FILTER (WHERE status_code BETWEEN 200 AND 299) AS http_2xx, count(*) FILTER (WHERE status_code BETWEEN 300 AND 399) AS http_3xx, count(*) FILTER (WHERE status_code BETWEEN 400 AND 499) AS http_4xx, count(*) FILTER (WHERE status_code BETWEEN 500 AND 599) AS http_5xx, count(*) FILTER (WHERE duration_ms > 100) AS slower_100ms, count(*) FILTER (WHERE duration_ms > 500) AS slower_500ms, count(*) FILTER (WHERE duration_ms > 1000) AS slower_1000ms, count(*) FILTER (WHERE regexp_matches(lower(event_type), 'error|exception') OR status_code >= 500) AS failure_rows, round(count(*) FILTER (WHERE regexp_matches(lower(event_type), 'error|exception') OR status_code >= 500) / count(*) * 100, 6) AS failure_percent FROM ops_events", "ops_events"))
@@ -503,10 +503,10 @@ def _(spark, d):
     return rounded(evl.confusion_pairs(ds.ticket_predictions(spark, d), "true_queue", "queue_from_predicted_type"))
 
 
-@query("m04_error_examples", with_views("SELECT * FROM (SELECT doc_id, true_queue, queue_from_predicted_type, pair_rank, n AS pair_count, CAST(row_number() OVER (PARTITION BY true_queue, queue_from_predicted_type ORDER BY doc_id) AS INTEGER) AS example FROM ticket_predictions JOIN pr ON actual = true_queue AND predicted = queue_from_predicted_type WHERE pair_rank <= 5) WHERE example <= 10", "ticket_predictions", pr=PAIR_SQL))
+@query("m04_error_examples", with_views("SELECT * FROM (SELECT doc_id, true_queue, queue_from_predicted_type, pair_rank, n AS pair_count, CAST(row_number() OVER (PARTITION BY true_queue, queue_from_predicted_type ORDER BY doc_id) AS INTEGER) AS example FROM ticket_predictions JOIN pr ON actual = true_queue AND predicted = queue_from_predicted_type WHERE pair_rank <= 30) WHERE example <= 10", "ticket_predictions", pr=PAIR_SQL))
 def _(spark, d):
     p = ds.ticket_predictions(spark, d).select("doc_id", "true_queue", "queue_from_predicted_type")
-    return evl.error_examples(p, "true_queue", "queue_from_predicted_type", "doc_id", 5, 10)
+    return evl.error_examples(p, "true_queue", "queue_from_predicted_type", "doc_id", 30, 10)
 
 
 AUC_SQL = "SELECT event_type, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS a FROM (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY score) + (count(*) OVER (PARTITION BY event_type, score) - 1) / 2.0 AS r FROM scored_points) GROUP BY 1"
@@ -598,7 +598,7 @@ def _(spark, d):
     return ql.duplicate_count(ds.table(spark, d, "events"), ["user_id", "event_type"])
 
 
-@query("s07_stable_sample")
+@query("s07_stable_sample", "SELECT event_id, user_id, value FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 500")
 def _(spark, d):
     return ql.stable_sample(ds.table(spark, d, "events").select("event_id", "user_id", "value"), "event_id", 500)
 
