@@ -85,7 +85,16 @@ def _telling(words: list[str]) -> set[str]:
 
 
 @lru_cache(maxsize=4096)
+def _remembered(block: str) -> tuple[str | None, float, bool, str, str]:
+    return _judged(block)
+
+
 def judged(block: str) -> tuple[str | None, float, bool, str, str]:
+    """Notices repeat in millions of documents; long blocks are not kept."""
+    return _remembered(block) if len(block) <= 2000 else _judged(block)
+
+
+def _judged(block: str) -> tuple[str | None, float, bool, str, str]:
     """(license, size reduction, exact, words missing, words added) of one block."""
     text = _plain(block)
     alone = _size(text, None)
