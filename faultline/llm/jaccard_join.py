@@ -152,8 +152,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFram
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, star) to verified links (a, b) and, of star pairs, the difference of id to its leader a: its elements, how many
     of them a partner may be found by (take), the size of the set, and whether id is not linked to a (open)."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    some = sets.join(sized(ids), "id", "left_semi")  # later rounds ask for few
+    left = some.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = some.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.join(right, "b").join(left, "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,15 +268,19 @@ def near_classes(docs: DataFrame, text: str = "text", width: int = 3) -> DataFra
     described = materialize(_described(docs, text, width))
     signs = described.where("doc_id IS NOT NULL AND size(signs) > 0").select("set_id", F.explode("signs").alias("key"))
     shared = signs.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("key")
-    buckets = materialize(signs.join(shared, "key").select("key", F.col("set_id").alias("id")).distinct())
-    ids = buckets.select(F.col("id").alias("set_id")).distinct()
-    wanted = materialize(described.where("doc_id IS NOT NULL").join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
+    first = materialize(signs.join(shared, "key").select("key", F.col("set_id").alias("id")).distinct())
+    ids = first.select(F.col("id").alias("set_id")).distinct()
+    plain = materialize(described.select("doc_id", "n_shingles", "set_id"))
+    wanted = materialize(plain.where("doc_id IS NOT NULL").join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
     sets = materialize(_sets(docs, sized(wanted), text, width))
     none = {"size": "long", "differ": "int", "at": "int", "open": "boolean"}
-    buckets = buckets.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    discard(described)
+    buckets = first.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     found, few = [], SMALL
     while True:
-        checked = materialize(_compare(_pairs(buckets, few), sets))
+        pairs = materialize(_pairs(buckets, few))
+        checked = materialize(_compare(pairs, sets))
+        discard(pairs)
         found.append(checked.where("b IS NOT NULL").select("a", "b"))
         if not checked.where("elements IS NOT NULL").limit(1).count():
             break
@@ -282,10 +288,10 @@ def near_classes(docs: DataFrame, text: str = "text", width: int = 3) -> DataFra
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
-    plain = described.select("doc_id", "n_shingles", "set_id")
+    discard(sets, first)
     root = components(links)
     rooted = plain.join(sized(root.withColumnRenamed("id", "set_id")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rooted = materialize(rooted.select("doc_id", "n_shingles", "root"))
-    first = rooted.where("doc_id IS NOT NULL AND root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first"))
+    least = rooted.where("doc_id IS NOT NULL AND root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
-    return rooted.join(first, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))
