@@ -94,7 +94,7 @@ def _windows(candidates: DataFrame, text: str, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts): the windows of a document that a smaller doc_id has too."""
+    """(doc_id, begins, ends): the runs of words of a document that are covered by windows which a smaller doc_id has too."""
     ship_package(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text)
     long = materialize(_sequences(docs, text).where(F.col("n_words") >= window))
@@ -105,38 +105,41 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     shared = anchors.groupBy("anchor").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).where("low < high").select("anchor")
     places = anchors.join(shared, "anchor").groupBy("seq").agg(F.collect_set("pos").alias("anchors"))
     wanted = materialize(places.join(first, "seq").select(F.col("first").alias("doc_id"), "anchors"))
-    candidates = materialize(docs.join(sized(wanted), "doc_id"))
+    anchors_in_all = wanted.agg(F.sum(F.size("anchors") + 1)).first()[0] or 0
+    candidates = materialize(docs.join(sized(wanted, anchors_in_all), "doc_id"))
     windows = _windows(candidates, text, window)
     least = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     found = windows.join(least, "key").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     # An id may have several rows, of which one is a copy: one list for each id.
-    result = materialize(found.unionByName(copies).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")))
-    discard(wanted, candidates, long, first)
+    starts = F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts"))))
+    listed = materialize(found.unionByName(copies).groupBy("doc_id").agg(starts.alias("starts")))
+    s, last = F.col("starts"), F.size("starts") - 1
+    begins = F.filter(s, lambda x, i: F.when(i == 0, True).otherwise(x - s[i - 1] > window))
+    ends = F.transform(F.filter(s, lambda x, i: F.when(i == last, True).otherwise(s[i + 1] - x > window)), lambda x: x + window)
+    result = materialize(listed.select("doc_id", begins.alias("begins"), ends.alias("ends")))
+    discard(wanted, candidates, long, first, listed)
     return result
 
 
-def cut(docs: DataFrame, repeated: DataFrame, text: str = "text", window: int = WINDOW, layout: bool = False) -> DataFrame:
+def cut(docs: DataFrame, repeated: DataFrame, text: str = "text", layout: bool = False) -> DataFrame:
     """Documents without the covered words: the kept words joined by one space. With ``layout``, rows that lose nothing keep
     their text as it is. Adds n_words and n_removed."""
     carried = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    plan = repeated.select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"))
-    joined = docs.select(*carried).join(sized(plan), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    plan = repeated.select(F.col("doc_id").alias("_id"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends"))
+    runs_in_all = repeated.agg(F.sum(F.size("begins") + 1)).first()[0] or 0
+    joined = docs.select(*carried).join(sized(plan, runs_in_all), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
     schema = T.StructType([*(docs.schema[c] for c in carried), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             kept, totals, removed = [], [], []
-            for raw, starts in zip(bytes_of(batch.column(text)), batch.column("_starts").to_pylist()):
+            for raw, begins, ends in zip(bytes_of(batch.column(text)), batch.column("_begins").to_pylist(), batch.column("_ends").to_pylist()):
                 words = raw.split() if raw else []
                 left = words
-                if starts:
-                    at = np.array(starts, np.int64)
-                    at = at[at + window <= len(words)]  # rows that share an id share its list
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + window, -1)
-                    stay = np.cumsum(change[:-1]) == 0
-                    left = [w for w, s in zip(words, stay.tolist()) if s]
+                if begins:
+                    left = words[: begins[0]]
+                    for end, begin in zip(ends, [*begins[1:], len(words)]):
+                        left += words[end:begin]
                 kept.append(raw if layout and len(left) == len(words) else b" ".join(left))
                 totals.append(len(words))
                 removed.append(len(words) - len(left))
@@ -144,4 +147,4 @@ def cut(docs: DataFrame, repeated: DataFrame, text: str = "text", window: int =
             yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*carried, "n_words", "n_removed"])
 
     ship_package(docs.sparkSession)
-    return joined.select(*carried, "_starts").mapInArrow(apply, schema)
+    return joined.select(*carried, "_begins", "_ends").mapInArrow(apply, schema)
