@@ -29,6 +29,8 @@ from faultline.session import ship_package
 #: n-grams are hashed into this many features: the model has a fixed size.
 FEATURES = 1 << 16
 SIZES = (1, 2, 3, 4)
+#: Bytes of text looked at together: the features of their vocabulary take about a hundred times that.
+PIECE = 2_000_000
 #: A difference of losses below this share of the best one is ambiguous.
 GAP = 0.1
 NONE = "und"
@@ -93,7 +95,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Model:
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PIECE):
             words = Words(bytes_of(batch.column(text)), lower=True)
             if not words.vocabulary:
                 continue
@@ -141,7 +143,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PIECE):
             texts = batch.column(text).to_pylist()
             words = Words(bytes_of(batch.column(text)), lower=True)
             n = len(texts)
