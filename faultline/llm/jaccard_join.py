@@ -1,10 +1,12 @@
 """Exact n-gram Jaccard self-join by universe partition and the pigeonhole principle, as connected components.
 
-Sets of word shingles fall into size bands. A link (Jaccard >= 0.9) within a band allows at most H differing shingles, so the
-shingle universe is hashed into segments with thresholds e (0: the segment must be equal, 1: equal up to one shingle, found by
-indexing every one-deletion variant) whose sum of e + 1 is H + 1: some segment of every linked pair is within its threshold.
-How many segments get e = 1 is chosen per band by expected cost. Records near a band's lower end also use the scheme of the
-band below, in which a smaller partner may lie.
+Sets of word shingles fall into size bands. A link (a Jaccard likeness of at least ``similarity``) within a band allows at most H
+differing shingles, so the shingle universe is hashed into segments with thresholds e (0: the segment must be equal, 1: equal up to
+one shingle, found by indexing every one-deletion variant) whose sum of e + 1 is above H: some segment of every linked pair is within
+its threshold. How many segments get e = 1 is chosen per band by expected cost. A set whose segments of more than e shingles alone
+have a sum above what it may differ by is found by one of these, so it needs no signature of an empty segment, which it would share
+with all sets that lack the same one; a few spare segments make that the rule. Records near a band's lower end also use the scheme
+of the band below, in which a smaller partner may lie.
 
 Sets that share a segment signature form a bucket. No bucket is expanded into all its pairs: small ones (SMALL sets) are
 compared in full, larger ones only with one of them, r. What is left are pairs of which one is not linked to r. With
@@ -22,28 +24,59 @@ rows. Other input columns are ignored. Shingles are compared as 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import cache
+from math import exp, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import Words, bytes_of, mix, pieces, runs, signed, sized
 from faultline.session import discard, materialize, ship_package
 
-#: Two sets link when 100 * intersection >= 90 * union, that is 19 * |x xor y| <= |x| + |y|.
 #: A bucket of at most SMALL sets that share a segment is compared in full, one of at most FEW that share a difference as far as its
 #: members can link.
 SMALL, FEW = 12, 128
 #: Upper size of a band over its lower size: about 0.9 ** -3, so that most sets need one scheme.
 BAND = 1.37
-#: For the cost model: the chance that a shingle of one set is in another, and sets a segment is compared with.
-COMMON, OTHERS = 0.05, 1e7
+#: For the cost model: the chance that a shingle of COMMON_WIDTH words of one set is in another, and sets a segment is compared with.
+COMMON, COMMON_WIDTH, OTHERS = 0.05, 3, 1e7
 
 _U = np.uint64
 
 
+class Limit(NamedTuple):
+    """Sets x and y link when intersection / union >= part / whole, that is more * |x xor y| <= less * (|x| + |y|)."""
+
+    part: int
+    whole: int
+
+    @property
+    def more(self) -> int:
+        return self.whole + self.part
+
+    @property
+    def less(self) -> int:
+        return self.whole - self.part
+
+    def errors(self, size: int) -> int:
+        """The most shingles by which a set of this size, or a smaller one, differs from a linked one that is not smaller."""
+        return size * self.less // self.part
+
+
+NEAR = Limit(9, 10)
+
+
+def limit_of(similarity: float) -> Limit:
+    """Exactly the decimal that is written; binary 0.8 is a little more."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    return Limit(*Fraction(str(similarity)).as_integer_ratio())
+
+
 @cache
 def bands() -> np.ndarray:
     edges = [1]
@@ -53,31 +86,37 @@ def bands() -> np.ndarray:
 
 
 @cache
-def allocation(band: int) -> tuple[int, int]:
+def allocation(band: int, limit: Limit = NEAR, width: int = COMMON_WIDTH) -> tuple[int, int]:
     """(segments, those of them with threshold 1) of least expected cost for the band."""
     most = int(bands()[band + 1]) - 1
-    errors = most // 9  # |x xor y| <= (a + a / 0.9) / 19 = a / 9
+    errors = limit.errors(most)
+    chance = COMMON ** (width / COMMON_WIDTH)
+    spare = 0
+    for _ in range(8):  # as many as are empty in almost every set; the result holds with any number
+        empty = (errors + 1 + spare) * exp(-most / (errors + 1 + spare))
+        spare = min(int(empty + 3 * sqrt(empty)), errors)
     best = None
     for ones in range((errors + 1) // 2 + 1):
-        segments = errors + 1 - ones
+        segments = errors + 1 - ones + spare
         size = most / segments
         signatures = segments - ones + ones * (size + 1)
-        false = (segments - ones) * COMMON**size + ones * (size + 1) * COMMON ** max(size - 1, 0)
+        false = (segments - ones) * chance**size + ones * (size + 1) * chance ** max(size - 1, 0)
         cost = signatures + OTHERS * false
         if best is None or cost < best[0]:
             best = cost, segments, ones
     return best[1], best[2]
 
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
-    """Of one sorted set. Sets below nine shingles link only with equal sets and need none."""
+def signatures(shingles: np.ndarray, limit: Limit = NEAR, width: int = COMMON_WIDTH) -> np.ndarray:
+    """Of one sorted set. Sets that are too small to differ link only with equal sets and need none."""
     n = len(shingles)
-    if n < 9:
+    errors = limit.errors(n)
+    if not errors:
         return np.empty(0, np.uint64)
-    low, high = np.searchsorted(bands(), [-(-9 * n // 10), n], side="right") - 1
+    low, high = np.searchsorted(bands(), [-(-limit.part * n // limit.whole), n], side="right") - 1
     found = []
     for band in range(low, high + 1):
-        segments, ones = allocation(band)
+        segments, ones = allocation(band, limit, width)
         salt = _U(band * 2 + 1)
         value = mix(shingles, np.full(n, salt))
         segment = (value >> _U(20)) % _U(segments)
@@ -90,10 +129,14 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
         size[at] = np.diff(np.r_[starts, n]).astype(np.uint64)
         total[at] = np.add.reduceat(value, starts)
         key = mix(np.arange(segments, dtype=np.uint64), np.full(segments, salt))
-        found.append(mix(total + size, key))
+        enough = int((size[:ones] > 1).sum()) * 2 + int((size[ones:] > 0).sum()) > errors
+        found.append(mix(total + size, key)[size > 0] if enough else mix(total + size, key))
         if ones:
             mine = segment < ones
             s = segment[mine].astype(np.int64)
+            if enough:
+                mine[mine] = size[s] > 1
+                s = s[size[s] > 1]
             found.append(mix(total[s] - value[mine] + size[s] - _U(1), key[s]))
     return np.unique(np.concatenate(found))
 
@@ -119,11 +162,11 @@ def set_id(shingles: np.ndarray) -> int | None:
     return int(signed(mix(np.array([total], np.uint64), np.array([len(shingles)], np.uint64)))[0])
 
 
-def _described(docs: DataFrame, text: str, width: int) -> DataFrame:
+def _described(docs: DataFrame, text: str, width: int, limit: Limit) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             sets = shingle_sets(bytes_of(batch.column(text)), width)
-            signs = [signed(signatures(s)) for s in sets]
+            signs = [signed(signatures(s, limit, width)) for s in sets]
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -149,7 +192,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFram
     return rows.dropDuplicates(["id"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
     """pairs (a, b, star) to verified links (a, b) and, of star pairs, the difference of id to its leader a: its elements, how many
     of them a partner may be found by (take), the size of the set, and whether id is not linked to a (open)."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -157,6 +200,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = some.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = some.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.join(right, "b").join(left, "a")
+    more, less = limit.more, limit.less
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,12 +211,12 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 differ = len(both) - 2 * common
-                linked = 19 * differ <= len(both)
+                linked = more * differ <= less * len(both)
                 if linked:
                     links[0].append(a)
                     links[1].append(b)
                 if star:
-                    shared = (len(x) + 19 * differ - len(y)) // 38 + 1 if linked else -(-(9 * differ - len(y)) // 9)
+                    shared = (less * len(x) + more * differ - less * len(y)) // (2 * more) + 1 if linked else differ - limit.errors(len(y))
                     take = differ - max(shared, 1) + 1
                     if take > 0:
                         for column, value in zip(stars, (a, b, len(y), take, not linked, signed(np.setxor1d(x, y, assume_unique=True)))):
@@ -193,7 +237,12 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", "star", "sa", "sb").mapInArrow(check, "a long, b long, id long, size long, take int, open boolean, elements array<long>")
 
 
-def _opened(checked: DataFrame) -> DataFrame:
+def _phi(limit: Limit) -> Column:
+    """At most less * |r| if a set is linked to the leader r of its star."""
+    return limit.more * F.col("differ") - limit.less * F.col("size")
+
+
+def _opened(checked: DataFrame, limit: Limit) -> DataFrame:
     """New buckets (key, id, size, differ, at, open): the ``take`` rarest elements of each difference, rarest within its star first.
     ``at`` is how many rarer ones an id has before."""
     star = checked.where("elements IS NOT NULL").select("a", "id", "size", "take", "open", F.size("elements").alias("differ"), "elements")
@@ -203,40 +252,48 @@ def _opened(checked: DataFrame) -> DataFrame:
     alone = F.col("differ") - F.size("common")  # elements no other id of the star has come first
     first = star.drop("elements").join(common, ["a", "id"]).select("a", "id", "size", "differ", "open", alone.alias("alone"), F.posexplode(F.slice("common", 1, F.greatest(F.col("take") - alone, F.lit(0)))).alias("k", "c"))
     member = first.where("c.any").select(F.xxhash64("a", "c.e").alias("key"), "id", "size", "differ", (F.col("alone") + F.col("k")).alias("at"), "open")
-    # A linked pair shares at least (phi(x) + phi(y)) / 38 elements, and at most what either has from the bucket's element on.
-    phi, room = 19 * F.col("differ") - F.col("size"), 38 * (F.col("differ") - F.col("at"))
+    # A linked pair shares at least (phi(x) + phi(y)) / (2 * more) elements, and at most what either has from the bucket's element on.
+    phi, room = _phi(limit), 2 * limit.more * (F.col("differ") - F.col("at"))
     bounds = member.groupBy("key").agg(F.min(phi).alias("low"), F.max(room - phi).alias("high"))
     return member.join(bounds, "key").where((phi + F.col("low") <= room) & (phi <= F.col("high"))).select(*member.columns)
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's members that can link: those whose differences can still share enough behind the bucket's element."""
-    for batch in batches:
-        found_a, found_b = [], []
-        for members in batch.column("members").to_pylist():
-            ids = np.array([m["id"] for m in members])
-            x, y = np.triu_indices(len(ids), 1)
-            if members[0]["differ"] is not None:
-                size, differ, at, unlinked = (np.array([m[c] for m in members]) for c in ("size", "differ", "at", "open"))
-                left = differ - at
-                need = np.maximum(-(-(19 * (differ[x] + differ[y]) - size[x] - size[y]) // 38), 1)
-                can = (np.minimum(left[x], left[y]) >= need) & (unlinked[x] | unlinked[y])
+def _close(groups: DataFrame, limit: Limit) -> DataFrame:
+    """Pairs of a bucket's members that can link: by their sizes, or as their differences can still share enough behind its element."""
+    more, less = limit.more, limit.less
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found_a, found_b = [], []
+            for members in batch.column("members").to_pylist():
+                ids = np.array([m["id"] for m in members])
+                x, y = np.triu_indices(len(ids), 1)
+                size = np.array([m["size"] for m in members])
+                if members[0]["differ"] is None:
+                    can = limit.whole * np.minimum(size[x], size[y]) >= limit.part * np.maximum(size[x], size[y])
+                else:
+                    differ, at, unlinked = (np.array([m[c] for m in members]) for c in ("differ", "at", "open"))
+                    left = differ - at
+                    need = np.maximum(-(-(more * (differ[x] + differ[y]) - less * (size[x] + size[y])) // (2 * more)), 1)
+                    can = (np.minimum(left[x], left[y]) >= need) & (unlinked[x] | unlinked[y])
                 x, y = x[can], y[can]
-            found_a.append(np.minimum(ids[x], ids[y]))
-            found_b.append(np.maximum(ids[x], ids[y]))
-        if found_a:
-            yield pa.record_batch({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
+                found_a.append(np.minimum(ids[x], ids[y]))
+                found_b.append(np.maximum(ids[x], ids[y]))
+            if found_a:
+                yield pa.record_batch({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
+
+    return groups.mapInArrow(close, "a long, b long")
 
 
-def _pairs(buckets: DataFrame, few: int) -> DataFrame:
+def _pairs(buckets: DataFrame, few: int, limit: Limit) -> DataFrame:
     """Distinct pairs to compare: those of a bucket of up to ``few`` sets that can link; of a larger one those with its leader, the
     set that links by nearness to the last leader alone if any does."""
-    nearest = F.struct((19 * F.col("differ") - F.col("size")).alias("phi"), "id")
+    nearest = F.struct(_phi(limit).alias("phi"), "id")
     groups = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(nearest)["id"].alias("leader"), F.max(F.coalesce("open", F.lit(True))).alias("any")).where("n > 1 AND any")
     member = buckets.join(groups.drop("any"), "key")
     star = member.where((F.col("n") > few) & (F.col("id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("id").alias("b"), F.lit(True).alias("star"))
     small = member.where(F.col("n") <= few).groupBy("key").agg(F.collect_list(F.struct("id", "size", "differ", "at", "open")).alias("members"))
-    close = small.select("members").mapInArrow(_close, "a long, b long").withColumn("star", F.lit(False))
+    close = _close(small.select("members"), limit).withColumn("star", F.lit(False))
     return star.unionByName(close).groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
@@ -261,30 +318,31 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("root"))
 
 
-def near_classes(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, text: str = "text", width: int = 3, similarity: float = 0.9) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included)."""
+    limit = limit_of(similarity)
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    described = materialize(_described(docs, text, width))
-    signs = described.where("doc_id IS NOT NULL AND size(signs) > 0").select("set_id", F.explode("signs").alias("key"))
-    shared = signs.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("key")
-    first = materialize(signs.join(shared, "key").select("key", F.col("set_id").alias("id")).distinct())
+    described = materialize(_described(docs, text, width, limit))
+    signs = described.where("doc_id IS NOT NULL AND size(signs) > 0").select("set_id", F.col("n_shingles").alias("size"), F.explode("signs").alias("key"))
+    shared = materialize(signs.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("key"))
+    first = materialize(signs.join(sized(shared), "key").select("key", F.col("set_id").alias("id"), "size").distinct())
     ids = first.select(F.col("id").alias("set_id")).distinct()
     plain = materialize(described.select("doc_id", "n_shingles", "set_id"))
     wanted = materialize(plain.where("doc_id IS NOT NULL").join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
     sets = materialize(_sets(docs, sized(wanted), text, width))
-    none = {"size": "long", "differ": "int", "at": "int", "open": "boolean"}
-    discard(described)
+    none = {"differ": "int", "at": "int", "open": "boolean"}
+    discard(described, shared)
     buckets = first.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     found, few = [], SMALL
     while True:
-        pairs = materialize(_pairs(buckets, few))
-        checked = materialize(_compare(pairs, sets))
+        pairs = materialize(_pairs(buckets, few, limit))
+        checked = materialize(_compare(pairs, sets, limit))
         discard(pairs)
         found.append(checked.where("b IS NOT NULL").select("a", "b"))
         if not checked.where("elements IS NOT NULL").limit(1).count():
             break
-        buckets, few = materialize(_opened(checked)), FEW
+        buckets, few = materialize(_opened(checked, limit)), FEW
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
