@@ -4,20 +4,27 @@ Words are compared without case and outer punctuation; numbers, units and names
 <name>. Windows of WINDOW template words of the benchmark are hash-joined with all windows of all documents. Hits are laid along
 the items: an item is found in a document when its hits cover at least SHARE of the item's words and the slots are filled
 consistently, that is, one value of a slot in the item always has one value in the document. So a question asked again with
-other numbers or names is found as well; ``exact`` tells whether the slots are unchanged.
+other numbers or names is found as well; ``exact`` tells whether the slots are unchanged but for case and outer punctuation.
 
-The benchmark goes to the tasks in blocks of BLOCK_WORDS words, one scan of the documents for each block, so what is broadcast has
-a fixed bound. Nothing of the documents is shuffled but the found pairs.
+A capital may mean a name or a sentence's start, so windows are compared in several forms, and one equal form is enough:
+
+* by literals: a capital word is literal if the whole benchmark has it as a literal one. Item words get this form by the document's
+  rule and, in addition, by their place in the sentence;
+* by names: every capital word is <name> on both sides, but words that the item has at a sentence's start must be the same;
+* plain: lower-cased words without placeholders. Exact passages are always found so, whatever they consist of.
+
+The benchmark goes to the tasks in blocks of BLOCK_WORDS words, each with the literal words of the whole benchmark, so the cut decides
+nothing. There is one scan of the documents for each block. Nothing of the documents is shuffled but the found pairs.
 
 Edge cases: null or blank texts on either side match nothing. Items below WINDOW words are matched as one window of their own
-length, of at least three words, half of them literal. Items with fewer literal words than that in every window are never found. Repeated rows
-give a pair each once per (doc_id, item_id). Null ids are kept as null. Empty tables give no rows.
+length, of at least three words. Items of one or two words are never found. Items with fewer than half literal words in every window are
+found as they are, not with other slots. Repeated rows give a pair each once per (doc_id, item_id). Null ids are kept as null. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -33,7 +40,7 @@ from faultline.session import ship_package
 
 WINDOW = 8
 SHARE = 0.5
-#: A window shows something only if at least this share of its words is literal.
+#: A window with placeholders shows something only if at least this share of its words is literal.
 LITERAL = 0.5
 BLOCK_WORDS = 1_000_000
 UNITS = frozenset(
@@ -41,80 +48,104 @@ UNITS = frozenset(
     b"litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur "
     b"percent degree degrees celsius fahrenheit kelvin km/h mph m/s watt watts volt volts".split()
 )
+SLOTS = frozenset((b"<num>", b"<unit>", b"<name>"))
 _EDGE = regex.compile(r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}%€$£]+$")
 _NUMBER = regex.compile(r"[+\-$€£]*\p{N}[\p{N}.,:/]*(?:st|nd|rd|th)?[%$€£]?")
 _END = (b".", b"!", b"?", b":", b'."', b'!"', b'?"')
 
 
-def canonical(word: bytes, literals: frozenset[bytes] | None = None, opens: bool = False) -> bytes:
-    """The template form of one word. Of a benchmark word (literals None) a capital means a name unless the word opens a
-    sentence; of a document word it does unless the benchmark has the word as a literal one."""
+def forms(word: bytes, literals: frozenset[bytes]) -> tuple[bytes, bytes, bytes]:
+    """One word by literals, by names and plain, from the word alone."""
     bare = _EDGE.sub("", word.decode("utf-8", "replace"))
-    low = bare.lower().encode()
     if not bare:
-        return word
+        return word, word, word
+    low = bare.lower().encode()
     if _NUMBER.fullmatch(bare):
-        return b"<num>"
+        return b"<num>", b"<num>", low
     if low in UNITS:
-        return b"<unit>"
-    if bare[0].isupper() and not opens and (literals is None or low not in literals):
-        return b"<name>"
-    return low
+        return b"<unit>", b"<unit>", low
+    if bare[0].isupper():
+        return low if low in literals else b"<name>", b"<name>", low
+    return low, low, low
+
+
+def _opens(words: list[bytes]) -> list[bool]:
+    return [i == 0 or words[i - 1].endswith(_END) for i in range(len(words))]
+
+
+class Terms:
+    """Which words the whole benchmark has as names and as literal ones. A word that opens a sentence is a name if it is one elsewhere
+    and never an ordinary word."""
+
+    def __init__(self, texts: Iterable[str]):
+        plain, capital, first = set(), set(), set()
+        for text in texts:
+            words = text.encode().split()
+            for word, opens in zip(words, _opens(words)):
+                _, name, low = forms(word, frozenset())
+                if name == b"<name>":
+                    (first if opens else capital).add(low)
+                elif name not in SLOTS:
+                    plain.add(low)
+        self.names = frozenset(capital - plain)
+        self.literals = frozenset(plain | (first - self.names))
 
 
 class Block:
-    """Items as templates with a table of their windows."""
-
-    def __init__(self, items: list[tuple[object, str]]):
-        self.ids, self.words, self.templates = [], [], []
-        tokens = [(item, text.encode().split()) for item, text in items]
-        starts = [[i == 0 or words[i - 1].endswith(_END) for i in range(len(words))] for _, words in tokens]
-        inner = [w for (_, words), opens in zip(tokens, starts) for w, o in zip(words, opens) if not o]
-        forms = {(w, canonical(w)) for w in inner}
-        plain = {form for _, form in forms}
-        # A word that opens a sentence is a name if it is one elsewhere and never an ordinary word.
-        names = {canonical(w, None, True) for w, form in forms if form == b"<name>"} - plain
-        for (item, words), opens in zip(tokens, starts):
-            if len(words) >= 3:
-                self.ids.append(item)
-                self.words.append(words)
-                template = [canonical(w, None, o) for w, o in zip(words, opens)]
-                self.templates.append([b"<name>" if t in names else t for t in template])
-        self.literals = frozenset(t for template in self.templates for t in template if not t.startswith(b"<"))
-        self.slots = [[i for i, t in enumerate(template) if t in (b"<num>", b"<unit>", b"<name>")] for template in self.templates]
-        found: defaultdict[int, list[tuple[int, int, int]]] = defaultdict(list)  # width: (hash, item, offset)
-        for k, template in enumerate(self.templates):
-            width = min(WINDOW, len(template))
-            literal = np.array([not t.startswith(b"<") for t in template])
-            enough = np.convolve(literal, np.ones(width), "valid") >= LITERAL * width
-            for offset, h in enumerate(runs(hashed(template), width).tolist()):
-                if enough[offset]:
-                    found[width].append((h, k, offset))
+    """Items with tables of their windows in every form."""
+
+    def __init__(self, items: list[tuple[object, str]], terms: Terms):
+        self.literals = terms.literals
+        self.ids, self.plain, self.templates, self.slots, self.opening = [], [], [], [], []
+        found: defaultdict[tuple[int, int], set[tuple[int, int, int]]] = defaultdict(set)  # (form, width): (hash, item, offset)
+        for item, text in items:
+            words = text.encode().split()
+            if len(words) < 3:
+                continue
+            literal, name, plain = (list(form) for form in zip(*(forms(w, terms.literals) for w in words)))
+            template = [low if n == b"<name>" and opens and low not in terms.names else n for n, low, opens in zip(name, plain, _opens(words))]
+            width = min(WINDOW, len(words))
+            sure = np.ones(len(words), bool)
+            steady = np.array([t not in SLOTS for t in template])
+            for form, row, shows in ((0, literal, np.array([t not in SLOTS for t in literal])), (0, template, steady), (1, name, steady), (2, plain, sure)):
+                enough = np.convolve(shows, np.ones(width), "valid") >= LITERAL * width
+                h = runs(hashed(row), width)
+                found[form, width].update((int(h[k]), len(self.ids), int(k)) for k in np.flatnonzero(enough))
+            self.ids.append(item)
+            self.plain.append(plain)
+            self.templates.append(template)
+            self.slots.append([i for i, t in enumerate(template) if t in SLOTS])
+            self.opening.append([i for i, (t, n) in enumerate(zip(template, name)) if t != n])
         self.tables = {}
-        for width, rows in found.items():
-            rows.sort()
-            keys = np.array([r[0] for r in rows], np.uint64)
-            self.tables[width] = keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        for at, rows in found.items():
+            if rows:
+                ordered = sorted(rows)
+                keys = np.array([r[0] for r in ordered], np.uint64)
+                self.tables[at] = keys, np.array([r[1] for r in ordered]), np.array([r[2] for r in ordered])
 
 
-def _hits(block: Block, words: Words) -> Iterator[tuple[int, int, int, int, int]]:
+def _hits(block: Block, words: Words, vocabulary: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, item, offset in the item, position in the document, width) of every equal window."""
-    template = hashed([canonical(w, block.literals) for w in words.vocabulary])[words.codes] if words.vocabulary else np.empty(0, np.uint64)
+    rows = [hashed(list(form))[words.codes] for form in zip(*vocabulary)] or [np.empty(0, np.uint64)] * 3
     owner = words.owner
-    for width, (keys, items, offsets) in block.tables.items():
-        h = runs(template, width)
+    for (form, width), (keys, items, offsets) in block.tables.items():
+        h = runs(rows[form], width)
         first = np.searchsorted(keys, h)
         hit = np.flatnonzero((keys[np.minimum(first, len(keys) - 1)] == h) & starts_in(words, width)[: len(h)])
         last = np.searchsorted(keys, h[hit], side="right")
         for position, low, high in zip(hit.tolist(), first[hit].tolist(), last.tolist()):
             for row in range(low, high):
-                yield int(owner[position]), int(items[row]), int(offsets[row]), position, width
+                item, offset = int(items[row]), int(offsets[row])
+                if form == 1 and any(vocabulary[words.codes[position + k - offset]][2] != block.plain[item][k] for k in block.opening[item] if offset <= k < offset + width):
+                    continue
+                yield int(owner[position]), item, offset, position, width
 
 
 def _judged(block: Block, words: Words) -> Iterator[tuple[int, int, float, bool]]:
     """(document, item, share covered, exact) of found items."""
     grouped: defaultdict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for document, item, offset, position, width in _hits(block, words):
+    vocabulary = [forms(w, block.literals) for w in words.vocabulary]
+    for document, item, offset, position, width in _hits(block, words, vocabulary):
         grouped[document, item].append((offset, position, width))
     for (document, item), hits in grouped.items():
         size = len(block.templates[item])
@@ -133,7 +164,7 @@ def _judged(block: Block, words: Words) -> Iterator[tuple[int, int, float, bool]
             same = steady = True
             for slot in block.slots[item]:
                 if slot in places:
-                    mine, theirs = block.words[item][slot], words.vocabulary[words.codes[start + slot]]
+                    mine, theirs = block.plain[item][slot], vocabulary[words.codes[start + slot]][2]
                     steady &= values.setdefault(mine, theirs) == theirs
                     same &= mine == theirs
             consistent |= steady
@@ -166,16 +197,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         return docs.select("doc_id", text).mapInArrow(find, schema)
 
     id_type = to_arrow_type(benchmark.schema[item].dataType)
-    items = (tuple(r) for r in benchmark.where(F.col(item_text).isNotNull()).select(item, item_text).toLocalIterator())
+    asked = benchmark.where(F.col(item_text).isNotNull()).select(item, item_text)
+    terms = Terms(r[1] for r in asked.toLocalIterator())
+    items = (tuple(r) for r in asked.toLocalIterator())
     found, block, size = [], [], 0
     for one in items:
         block.append(one)
         size += len(one[1].split())
         if size >= BLOCK_WORDS:
-            found.append(scan(context.broadcast(Block(block))))
+            found.append(scan(context.broadcast(Block(block, terms))))
             block, size = [], 0
     if block or not found:
-        found.append(scan(context.broadcast(Block(block))))
+        found.append(scan(context.broadcast(Block(block, terms))))
     total = found[0]
     for more in islice(found, 1, None):
         total = total.unionByName(more)
