@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from faultline.llm.common import held_out
 from faultline.llm.context_tree import score_texts
 from faultline.llm.decontaminate import contaminated
+from faultline.llm.divergence import audit_sources
 from faultline.llm.jaccard_join import near_classes
 from faultline.llm.language import identify
 from faultline.llm.licenses import scan_licenses
+from faultline.llm.manifest import manifest, proof_digest
 from faultline.llm.mixing import mix_sources
+from faultline.llm.oracles import OP12_SQL, OP13_SQL
+from faultline.llm.packing import pack
 from faultline.llm.render import extract
 from faultline.llm.repeats import cut, repeated_windows
 from faultline.llm.syncmers import compare_with_next
@@ -102,3 +106,23 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_text")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages")).select("page_id", "text", "n_blocks")
+
+
+@query("op11_pack")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack(table(spark, folder, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+
+
+@query("op12_manifest", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Tampered: the texts of documents with an even crc32 of their number have lost their line breaks."""
+    docs = table(spark, folder, "documents")
+    tampered = F.when(held_out(F.col("doc_id"), 2, 0), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], {"text": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_audit_sources", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_sources(table(spark, folder, "documents"))
