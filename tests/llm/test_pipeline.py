@@ -1,8 +1,9 @@
 """The pipeline against a loop over documents, stage by stage, and its guard in the entry module."""
 
 import regex
-from test_dedup import brute_classes, brute_repeats
+from test_dedup import brute_repeats
 from test_models import brute_mix
+from test_near_stage import brute
 
 import __spark_entry__
 import corpus_pipeline
@@ -31,7 +32,7 @@ def test_stages(spark, tmp_path):
             assert docs.columns == COLUMNS
     want = {i for i, t in text.items() if t and regex.search(r"\p{L}", t)}
     assert {r["doc_id"] for r in out["language_id"]} == want and not want & {900, 901, 902}
-    classes = brute_classes([(i, text[i]) for i in want])
+    classes = brute([(i, text[i]) for i in want], 5, 0.8)
     want = {i for i, (_, c) in classes.items() if c == i}
     assert {r["doc_id"] for r in out["near_duplicates"]} == want and len(want) < len(classes)
     repeats = brute_repeats([(i, text[i]) for i in want])
@@ -62,5 +63,5 @@ def test_empty_documents(spark, empty):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert names["pipeline"] is corpus_pipeline.run and all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11))
+    assert names["pipeline"] is corpus_pipeline.run and all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "substring_dedup", "decontamination", "source_mix"]
