@@ -9,6 +9,7 @@ from faultline.functions.rules import RISK_CUTS, clip, level, reasons
 from faultline.functions.timefn import floor_to, minutes_between
 from faultline.operators.incidents import global_number, sessionize
 from faultline.operators.quantiles import quantiles_by
+from faultline.operators.interval_aggregates import interval_statistics
 from faultline.operators.skew import Timeline, join_on
 
 
@@ -226,26 +227,10 @@ def class_comparison(df: DataFrame, label: str, features: list[str]) -> DataFram
     )
 
 
-def phase_statistics(pairs: DataFrame, group: list[str]) -> DataFrame:
+def phase_statistics(points: DataFrame, phases: DataFrame, keys: list[str], series: list[str], ts: str, tie: str, ids: list[str]) -> DataFrame:
     """Statistics of the metric points of every fault phase: moments, median, last value,
-    anomalies by |z| > 3. The input holds z-scored points joined to their phase."""
-    strong = F.coalesce(F.abs(F.col("z")) > 3, F.lit(False))
-    return quantiles_by(
-        pairs,
-        group,
-        {"median": ("value", 0.5)},
-        [
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.max_by("value", F.struct("ts", "point_id")).alias("last"),
-            F.count_if(strong).alias("anomaly_count"),
-            F.avg(strong.cast("int")).alias("anomaly_rate"),
-            F.max(F.abs(F.col("z"))).alias("max_abs_z"),
-        ],
-    )
+    anomalies by |z| > 3. ``points`` have value and z, ``phases`` their ids and phase_start and phase_end."""
+    return interval_statistics(points, phases, keys, series, ts, tie, ids, "phase_start", "phase_end")
 
 
 def change_to_during(stats: DataFrame, group: list[str]) -> DataFrame:
@@ -258,8 +243,7 @@ def change_to_during(stats: DataFrame, group: list[str]) -> DataFrame:
     return stats.groupBy(*group).agg(*change)
 
 
-def band_statistics(pairs: DataFrame, group: list[str]) -> DataFrame:
+def band_statistics(points: DataFrame, bands: DataFrame, keys: list[str], series: list[str], ts: str, tie: str, ids: list[str]) -> DataFrame:
     """Mean, median, MAD and anomaly rate of every pre-fault band."""
-    med = quantiles_by(pairs, group, {"median": ("value", 0.5)}, [F.avg("value").alias("mean"), F.count("value").alias("n"), F.avg((F.coalesce(F.abs(F.col("z")) > 3, F.lit(False))).cast("int")).alias("anomaly_rate")])
-    deviated = join_on(pairs, med.select(*group, "median"), group).withColumn("_d", F.abs(F.col("value") - F.col("median")))
-    return join_on(med, quantiles_by(deviated, group, {"mad": ("_d", 0.5)}), group, "left")
+    found = interval_statistics(points, bands, keys, series, ts, tie, ids, "phase_start", "phase_end", spread=True)
+    return found.select(*dict.fromkeys([*series, *ids]), "n", "mean", "median", "mad", "anomaly_rate")

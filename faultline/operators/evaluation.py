@@ -78,11 +78,12 @@ def error_examples(df: DataFrame, y: str, p: str, id_col: str, pairs: int = 30,
     return top_k_by(wrong, [y, p], [F.col(id_col)], rows, "example")
 
 
-def auc(df: DataFrame, keys: list[str], y: str, score: str, minimum: int = 1) -> DataFrame:
+def auc(df: DataFrame, keys: list[str], y: str, score: str, minimum: int = 1, weight: str | None = None) -> DataFrame:
     """ROC-AUC with ties at half weight, and its direction-free form. Rows collapse to
-    distinct scores first; the running count over them is a sliced timeline."""
+    distinct scores first; the running count over them is a sliced timeline. ``weight``: a whole number of times that a row counts."""
+    times = F.lit(1) if weight is None else F.col(weight)
     counts = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(
-        F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg")
+        F.sum(times * F.col(y).cast("long")).alias("_pos"), F.sum(times * (1 - F.col(y).cast("long"))).alias("_neg")
     )
     below = Timeline(counts, keys, [score]).running({"_below": ("sum", F.col("_neg"))}, exclusive=True).result()
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
@@ -147,8 +148,9 @@ def evaluate_by(df: DataFrame, y: str, predictions: list[str], key: str) -> Data
 
 
 def robust_effect(df: DataFrame, keys: list[str], y: str, value: str, minimum: int = 10) -> DataFrame:
-    """(median of cases - median of controls) / IQR of controls; null if not defined."""
-    cased = df.withColumns({"_case": F.when(F.col(y) == 1, F.col(value)), "_control": F.when(F.col(y) == 0, F.col(value))})
+    """(median of cases - median of controls) / IQR of controls; null if not defined. Values that are not finite count as missing."""
+    finite = df.withColumn(value, F.when(F.abs(F.col(value)) < float("inf"), F.col(value)))
+    cased = finite.withColumns({"_case": F.when(F.col(y) == 1, F.col(value)), "_control": F.when(F.col(y) == 0, F.col(value))})
     q = quantiles_by(
         cased,
         keys,
@@ -193,19 +195,25 @@ def rank_signals(results: DataFrame, renormalize: bool = False) -> DataFrame:
     return line.running({"rank": ("sum", F.lit(1))}).result("_s", "_w", "_p")
 
 
-def prefault_summary(df: DataFrame, group: list[str], y: str, value: str, anomaly: str) -> DataFrame:
+def prefault_summary(df: DataFrame, group: list[str], y: str, value: str, anomaly: str, weight: str | None = None) -> DataFrame:
     """Cases against controls per (band, feature): n, mean, median, MAD, anomaly rates,
-    median difference and Cliff's delta (exact, from the AUC)."""
-    sides = df.withColumn("side", F.when(F.col(y) == 1, "case").otherwise("control"))
+    median difference and Cliff's delta (exact, from the AUC). ``weight``: a whole number of times that a row counts, so
+    that a point in many bands is one row."""
+    sides = df.withColumns({"side": F.when(F.col(y) == 1, "case").otherwise("control"), "_times": F.lit(1) if weight is None else F.col(weight)})
     keyed = [*group, "side"]
-    med = quantiles_by(sides, keyed, {"median": (value, 0.5)}, [F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg(F.col(anomaly).cast("int")).alias("anomaly_rate")])
+    there = F.when(F.col(value).isNotNull(), F.col("_times"))
+    n = F.coalesce(F.sum(there), F.lit(0))
+    counted = [n.alias("n"), F.try_divide(F.sum(F.col(value) * F.col("_times")), n).alias("mean")]
+    flagged = F.when(F.col(anomaly).isNotNull(), F.col("_times"))
+    rate = F.try_divide(F.sum(F.col(anomaly).cast("int") * F.col("_times")), F.sum(flagged)).alias("anomaly_rate")
+    med = quantiles_by(sides, keyed, {"median": (value, 0.5)}, [*counted, rate], "_times")
     spread = join_on(sides, med.select(*keyed, "median"), keyed).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    full = join_on(med, quantiles_by(spread, keyed, {"mad": ("_d", 0.5)}), keyed, "left")
+    full = join_on(med, quantiles_by(spread, keyed, {"mad": ("_d", 0.5)}, (), "_times"), keyed, "left")
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     wide = full.groupBy(*group).agg(*[pick(c, s).alias(f"{s}_{c}") for s in ("case", "control") for c in ("n", "mean", "median", "mad", "anomaly_rate")])
     wide = wide.withColumns({f"{s}_n": F.coalesce(f"{s}_n", F.lit(0)) for s in ("case", "control")})
     wide = wide.withColumn("median_difference", F.col("case_median") - F.col("control_median"))
-    return join_on(wide, auc(df, group, y, value).select(*group, "cliffs_delta"), group, "left")
+    return join_on(wide, auc(df, group, y, value, weight=weight).select(*group, "cliffs_delta"), group, "left")
 
 
 def diff_predictions(a: DataFrame, b: DataFrame, id_col: str, label: str) -> DataFrame:

@@ -18,14 +18,14 @@ from faultline.operators.skew import heavy_groups, join_on, range_bucket
 Wanted = dict[str, tuple[str, float]]
 
 
-def quantiles_by(df: DataFrame, keys: Iterable[str], wanted: Wanted, aggregates: Iterable[Column] = ()) -> DataFrame:
-    """groupBy(keys) with ``aggregates`` and the exact quantiles ``{alias: (column, q)}``."""
+def quantiles_by(df: DataFrame, keys: Iterable[str], wanted: Wanted, aggregates: Iterable[Column] = (), weight: str | None = None) -> DataFrame:
+    """groupBy(keys) with ``aggregates`` and the exact quantiles ``{alias: (column, q)}``. ``weight``: a whole number of times that a row counts in the quantiles."""
     keys, aggregates = list(keys), list(aggregates)
-    exact = [F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in wanted.items()]
+    exact = [F.percentile(c, F.lit(q), F.lit(1) if weight is None else F.col(weight)).alias(n) for n, (c, q) in wanted.items()]
     heavy = heavy_groups(df, keys)
     if heavy is None:
         return df.groupBy(*keys).agg(*aggregates, *exact)
-    selected = _rank_select(join_on(df, heavy, keys, "left_semi") if keys else df, keys, wanted)
+    selected = _rank_select(join_on(df, heavy, keys, "left_semi") if keys else df, keys, wanted, weight)
     if keys:
         light = join_on(df, heavy, keys, "left_anti").groupBy(*keys).agg(*exact)
         selected = selected.unionByName(light)
@@ -40,18 +40,18 @@ def _one_row(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
 
 
-def _rank_select(df: DataFrame, keys: list[str], wanted: Wanted) -> DataFrame:
+def _rank_select(df: DataFrame, keys: list[str], wanted: Wanted, weight: str | None = None) -> DataFrame:
     columns = sorted({c for c, _ in wanted.values()})
     parts = [
         df.filter(F.col(c).isNotNull())
-        .select(*keys, F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value"))
+        .select(*keys, F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_weight"))
         for c in columns
     ]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
     group = [*keys, "_column"]
-    values = stacked.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    values = stacked.groupBy(*group, "_value").agg(F.sum("_weight").alias("_n"))
     values = range_bucket(values, "_value", values.count(), "_range")
     ranges = values.groupBy(*group, "_range").agg(F.sum("_n").alias("_in_range"))
     in_order = Window.partitionBy(*group).orderBy("_range")

@@ -1,8 +1,7 @@
 """As-of, nearest and interval joins over keyed time lines.
 
 As-of joins union both sides into one time line and carry the last known event along it:
-one shuffle, no pairs. Interval joins meet in time buckets whose width follows the
-interval length, so an interval touches at most two buckets of its level.
+one shuffle, no pairs. Intervals are answered by look-ups of their ends (see interval_aggregates.py).
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.timefn import micros, minute_of_day, minutes_between
+from faultline.operators.interval_aggregates import rank_range, winners
 from faultline.operators.skew import Timeline, join_on
 
 KIND, AT, TIE = "_kind", "_at", "_tie"
@@ -85,51 +85,16 @@ def exclude_near(points: DataFrame, events: DataFrame, keys: list[str], ts: str,
     return found.filter(F.col("nearest_minutes").isNull()).drop("nearest_" + id_col, "nearest_minutes")
 
 
-SMALLEST_BUCKET = 60_000_000
-LEVEL_FACTOR = 4
-
-
-def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str, end: str, closed: str = "both", how: str = "inner") -> DataFrame:
-    """Pairs (point, interval) of one key with the point inside the interval.
-
-    Every interval gets the smallest level whose bucket is at least as long as itself, so
-    it covers at most two buckets. A point looks once per level in use (the number of
-    levels is the logarithm of the longest interval). Hot keys spread over their buckets.
-    """
-    duration = F.greatest(micros(F.col(end)) - micros(F.col(start)), F.lit(1))
-    levelled = intervals.withColumn(
-        "_level",
-        F.greatest(
-            F.lit(0), F.ceil(F.log(float(LEVEL_FACTOR), duration / F.lit(float(SMALLEST_BUCKET))) - 1e-9)
-        ).cast("int"),
-    )
-    used = sorted(r[0] for r in levelled.select("_level").distinct().collect() if r[0] is not None)
-    if not used:
-        used = [0]
-    width = {n: SMALLEST_BUCKET * LEVEL_FACTOR**n for n in used}
-    wide = F.create_map(*[F.lit(x) for n, w in width.items() for x in (n, w)])[F.col("_level")]
-    spread = levelled.withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(micros(F.col(start)) / wide), F.floor(micros(F.col(end)) / wide)))
-    )
-    slots = F.array(
-        *[F.struct(F.lit(n).alias("level"), F.floor(micros(F.col(ts)) / F.lit(w)).alias("bucket")) for n, w in width.items()]
-    )
-    looked = points.withColumn("_slot", F.explode(slots)).withColumns({"_level": F.col("_slot.level"), "_bucket": F.col("_slot.bucket")}).drop("_slot")
-    low = F.col(ts) >= F.col(start)
-    high = F.col(ts) <= F.col(end) if closed == "both" else F.col(ts) < F.col(end)
-    pairs = looked.join(spread, [*keys, "_level", "_bucket"]).filter(low & high).drop("_level", "_bucket")
-    if how == "inner":
-        return pairs
-    raise ValueError(f"unsupported interval join: {how}")
-
-
-def mark_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str, end: str, id_col: str, point_id: list[str]) -> DataFrame:
-    """Points with the id of the interval they lie in (ends included); of several
-    overlapping intervals the one that starts last wins."""
-    slim = points.select(*dict.fromkeys([*keys, *point_id, ts]))
-    pairs = interval_join(slim, intervals.select(*keys, start, end, id_col), keys, ts, start, end)
-    found = pairs.groupBy(*point_id).agg(F.max_by(id_col, F.struct(start, id_col)).alias("current_" + id_col))
-    return join_on(points, found, point_id, "left").withColumn("inside", F.col("current_" + id_col).isNotNull())
+def mark_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str, end: str, id_col: str) -> DataFrame:
+    """Points with the id of the interval they lie in (ends included); of several overlapping intervals the one that starts last wins. The
+    intervals are first made into disjoint segments, then each point looks at the last segment that began: no pairs."""
+    segments = winners(intervals, keys, start, end, id_col).withColumnsRenamed({"from": "_from", "to": "_to"})
+    timed = points.withColumn("_micros", micros(F.col(ts)))
+    merged = timed.select(*keys, F.col("_micros").alias(AT), F.lit(1).alias(KIND), F.struct(*points.columns, "_micros").alias("_point"))
+    merged = merged.unionByName(segments.select(*keys, F.col("_from").alias(AT), F.lit(0).alias(KIND), F.struct("_to", id_col).alias("_event")), allowMissingColumns=True)
+    line = Timeline(merged, keys, [AT, KIND]).running({"_last": ("last", F.col("_event"))}).result().filter(F.col("_point").isNotNull())
+    found = F.when(F.col("_last._to") >= F.col("_point._micros"), F.col("_last")[id_col])
+    return line.select("_point.*", found.alias("current_" + id_col)).drop("_micros").withColumn("inside", F.col("current_" + id_col).isNotNull())
 
 
 def horizon_labels(grid: DataFrame, events: DataFrame, keys: list[str], ts: str, start: str, id_col: str, horizons: list[int], slot_minutes: int = 5) -> DataFrame:
@@ -288,23 +253,18 @@ def _explode_phases(faults: DataFrame, phases: Column) -> DataFrame:
 
 def offset_coverage(points: DataFrame, faults: DataFrame, keys: list[str], fault_id: str, start: str, end: str, ts: str, hours: range) -> DataFrame:
     """For every clock offset: how many shifted faults have a metric point inside, how
-    many points fall in them and the minutes of overlap with the telemetry's range."""
+    many points fall in them and the minutes of overlap with the telemetry's range. The points inside are the difference of two running
+    counts at the fault's ends, so no point is repeated for an offset."""
     span = points.groupBy(*keys).agg(F.min(micros(F.col(ts))).alias("_lo"), F.max(micros(F.col(ts))).alias("_hi"))
-    moved = faults.withColumn("offset_hours", F.explode(F.array(*[F.lit(h) for h in hours])))
+    moved = faults.select(*dict.fromkeys([*keys, fault_id, start, end])).withColumn("offset_hours", F.explode(F.array(*[F.lit(h) for h in hours])))
     shift = F.make_dt_interval(hours=F.col("offset_hours"))
     moved = moved.withColumns({"_from": F.col(start) + shift, "_to": F.col(end) + shift})
-    hits = (
-        interval_join(points.select(*keys, ts), moved.select(*keys, fault_id, "offset_hours", "_from", "_to"), keys, ts, "_from", "_to")
-        .groupBy(fault_id, "offset_hours")
-        .agg(F.count(F.lit(1)).alias("_hits"))
-    )
-    sized = moved.join(hits, [fault_id, "offset_hours"], "left")
-    sized = join_on(sized, span, keys, "left")
+    sized = join_on(rank_range(points, moved, keys, ts, ts, "_from", "_to"), span, keys, "left")
     shared = F.greatest(F.lit(0), F.least(micros(F.col("_to")), F.col("_hi")) - F.greatest(micros(F.col("_from")), F.col("_lo")))
     return sized.groupBy("offset_hours").agg(
         F.count(F.lit(1)).alias("faults"),
-        F.count("_hits").alias("covered_faults"),
-        F.coalesce(F.sum("_hits"), F.lit(0)).alias("points"),
+        F.count_if(F.col("points") > 0).alias("covered_faults"),
+        F.sum("points").alias("points"),
         F.sum(F.coalesce(shared, F.lit(0)) / 60_000_000.0).alias("overlap_minutes"),
     )
 

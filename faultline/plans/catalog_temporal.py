@@ -10,6 +10,7 @@ from faultline.operators import evaluation as evl
 from faultline.operators import temporal_joins as tj
 from faultline.operators import timeseries as tsr
 from faultline.operators.incidents import log_incidents
+from faultline.operators.interval_aggregates import multiplicity, rank_range
 from faultline.operators import risk
 from faultline.plans.catalog_series import KEY, LI_SQL, LOGS, anomalous_log_windows
 from faultline.plans.registry import query, rnd, rounded
@@ -75,7 +76,7 @@ def _(spark, d):
 
 @query("c06_mark_in_interval", with_views("SELECT point_id, coalesce(max_fault, -1) AS current_fault_id, max_fault IS NOT NULL AS inside FROM (SELECT t.point_id, arg_max(f.fault_id, {'a': f.fault_start, 'b': f.fault_id}) AS max_fault FROM telemetry t LEFT JOIN faults f ON t.service = f.service AND t.ts BETWEEN f.fault_start AND f.fault_end GROUP BY t.point_id)", "telemetry", "faults"))
 def _(spark, d):
-    out = tj.mark_in_interval(points(spark, d), ds.faults(spark, d), KEY, "ts", "fault_start", "fault_end", "fault_id", ["point_id"])
+    out = tj.mark_in_interval(points(spark, d), ds.faults(spark, d), KEY, "ts", "fault_start", "fault_end", "fault_id")
     return out.select("point_id", F.coalesce("current_fault_id", F.lit(-1)).alias("current_fault_id"), "inside")
 
 
@@ -132,10 +133,9 @@ def zscored(spark, d):
     return tsr.series_robust_z(points(spark, d), ["service", "metric"], "value", "z")
 
 
-def phase_pairs(spark, d, make, *columns):
-    f = make(ds.faults(spark, d))
-    keep = ["fault_id", "service", "phase", "phase_start", "phase_end", *columns]
-    return materialize(tj.interval_join(materialize(zscored(spark, d)), f.select(*keep), KEY, "ts", "phase_start", "phase_end"))
+def phase_table(spark, d, make, statistics):
+    f = make(ds.faults(spark, d)).select("fault_id", "service", "phase", "phase_start", "phase_end")
+    return statistics(materialize(zscored(spark, d)), f, KEY, ["service", "metric"], "ts", "point_id", ["fault_id", "service", "phase"])
 
 
 def phases(f):
@@ -144,12 +144,12 @@ def phases(f):
 
 @query("c10_d23_fault_windows", with_views(f'SELECT fault_id, service, metric, phase, n, {rnd("mean, median, std")}, "min", "max", "last", anomaly_count, {rnd("anomaly_rate, max_abs_z")} FROM ps', "telemetry", "faults", zp=ZP_SQL, ph=PHASE_SQL, ps=PHASE_STATS_SQL))
 def _(spark, d):
-    return rounded(cor.phase_statistics(phase_pairs(spark, d, phases), ["fault_id", "service", "metric", "phase"]))
+    return rounded(phase_table(spark, d, phases, cor.phase_statistics))
 
 
 @query("d23_change_to_during", with_views("SELECT fault_id, service, metric, " + ", ".join(f"round((dm - {p}) / abs(nullif({p}, 0)) * 100, 6) + 0.0 AS change_{p}_to_during_pct" for p in ("pre_10m", "pre_5m", "pre_2m")) + " FROM (SELECT fault_id, service, metric, max(mean) FILTER (WHERE phase = 'during') AS dm, " + ", ".join(f"max(mean) FILTER (WHERE phase = '{p}') AS {p}" for p in ("pre_10m", "pre_5m", "pre_2m")) + " FROM ps GROUP BY 1, 2, 3)", "telemetry", "faults", zp=ZP_SQL, ph=PHASE_SQL, ps=PHASE_STATS_SQL))
 def _(spark, d):
-    s = cor.phase_statistics(phase_pairs(spark, d, phases), ["fault_id", "service", "metric", "phase"])
+    s = phase_table(spark, d, phases, cor.phase_statistics)
     return rounded(cor.change_to_during(s, ["fault_id", "service", "metric"]))
 
 
@@ -162,15 +162,15 @@ def bands(f):
 
 @query("c11_d24_prefault_bands", with_views(f"SELECT fault_id, metric, phase, n, {rnd('mean, median, mad, anomaly_rate')} FROM (SELECT fault_id, metric, phase, count(value) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, mad(value) AS mad, avg(CASE WHEN abs(z) > 3 THEN 1 ELSE 0 END) AS anomaly_rate FROM bd GROUP BY 1, 2, 3)", "telemetry", "faults", zp=ZP_SQL, bd=BAND_SQL))
 def _(spark, d):
-    pairs = phase_pairs(spark, d, bands)
-    return rounded(cor.band_statistics(pairs, ["fault_id", "metric", "phase"]))
+    return rounded(phase_table(spark, d, bands, cor.band_statistics).drop("service"))
 
 
 @query("c11_band_coverage", with_views("SELECT fault_id, " + ", ".join(f"coalesce(bool_or(phase = 't-{a}_t-{b}'), false) AS has_{a}_{b}" for a, b in ((15, 10), (10, 5), (5, 0))) + " FROM faults LEFT JOIN bd USING (fault_id) GROUP BY fault_id", "telemetry", "faults", zp=ZP_SQL, bd=BAND_SQL))
 def _(spark, d):
-    seen = phase_pairs(spark, d, bands).groupBy("fault_id").agg(*[F.max((F.col("phase") == f"t-{a}_t-{b}")).alias(f"has_{a}_{b}") for a, b in ((15, 10), (10, 5), (5, 0))])
-    out = ds.faults(spark, d).select("fault_id").join(seen, "fault_id", "left")
-    return out.select("fault_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_15_10", "has_10_5", "has_5_0")])
+    f = bands(ds.faults(spark, d)).select("fault_id", "service", "phase", "phase_start", "phase_end")
+    counted = rank_range(points(spark, d), f, KEY, "ts", "point_id", "phase_start", "phase_end")
+    has = lambda a, b: F.max((F.col("phase") == f"t-{a}_t-{b}") & (F.col("points") > 0)).alias(f"has_{a}_{b}")
+    return counted.groupBy("fault_id").agg(*[has(a, b) for a, b in ((15, 10), (10, 5), (5, 0))])
 
 
 HOURS = range(-8, 9)
@@ -319,13 +319,13 @@ SIDE = {"case": 1, "control": 0}
 )
 def _(spark, d):
     z = materialize(zscored(spark, d))
-    f = bands(ds.faults(spark, d)).select("fault_id", "service", "phase", "phase_start", "phase_end")
+    names = ["t-15_t-10", "t-10_t-5", "t-5_t-0"]
+    by_band = F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"`{n}`"))])).alias("band", "times")
     cols = ["metric", "value", (F.abs("z") > 3).alias("an")]
-    case = tj.interval_join(z, f, KEY, "ts", "phase_start", "phase_end").select(F.col("phase").alias("band"), *cols, F.lit(1).alias("y"))
-    names = F.explode(F.array(*[F.lit(f"t-{a}_t-{b}") for a, b in ((15, 10), (10, 5), (5, 0))])).alias("band")
+    case = multiplicity(z, bands(ds.faults(spark, d)), KEY, "ts", "phase", names, "phase_start", "phase_end").select(*cols, by_band).filter("times > 0").withColumn("y", F.lit(1))
     far = tj.exclude_near(z, ds.faults(spark, d), KEY, "ts", "fault_start", "fault_id", 15)
-    control = far.select(names, *cols, F.lit(0).alias("y"))
-    return rounded(evl.prefault_summary(materialize(case.unionByName(control)), ["band", "metric"], "y", "value", "an"))
+    control = far.select(*cols, F.explode(F.array(*[F.lit(n) for n in names])).alias("band"), F.lit(1).cast("long").alias("times"), F.lit(0).alias("y"))
+    return rounded(evl.prefault_summary(materialize(case.unionByName(control)), ["band", "metric"], "y", "value", "an", "times"))
 
 
 # --- balanced risk engine ---------------------------------------------------------------
