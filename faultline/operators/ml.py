@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    IndexToString,
-    NGram,
-    OneHotEncoder,
-    RegexTokenizer,
-    SQLTransformer,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-    VectorSizeHint,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from faultline.functions.rules import ALERT_CUTS, prob_level
+from faultline.operators.boosting import BoostedModel, Settings, fit_boosted
 from faultline.operators.evaluation import classification_report, threshold_sweep
+from faultline.operators.linear import LinearModel, SparseVectors, TermPart, fit_linear
 from faultline.operators.quality import impute_median, text_overlap
-from faultline.operators.similarity import char_grams
 from faultline.operators.skew import Timeline, join_on
 from faultline.operators.timeseries import time_split
-from faultline.session import materialize
+from faultline.session import discard, materialize
 
 
 def stratified_split(df: DataFrame, columns: list[str], id_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -69,104 +56,65 @@ def positive_weight(df: DataFrame, label: str) -> float:
     return (row["n"] - row["p"]) / row["p"]
 
 
-class TextModel:
-    """Word 1-2 gram TF-IDF as sparse vectors: sublinear tf, smoothed idf, unit length."""
-
-    def __init__(self, text: str, output: str, features: int = 30_000, min_df: int = 2, characters: bool = False):
-        self.text, self.output, self.characters = text, output, characters
-        stages: list = []
-        if not characters:
-            stages += [
-                RegexTokenizer(inputCol=text, outputCol="_w1", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-                NGram(n=2, inputCol="_w1", outputCol="_w2"),
-                SQLTransformer(statement="SELECT *, concat(_w1, _w2) AS _terms FROM __THIS__"),
-            ]
-        stages.append(CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=min_df, vocabSize=features))
-        self.pipeline = Pipeline(stages=stages)
-
-    def _prepared(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_terms", char_grams(F.col(self.text))) if self.characters else df
-
-    def fit(self, df: DataFrame) -> TextModel:
-        prepared = self._prepared(df)
-        self.model = self.pipeline.fit(prepared)
-        counted = materialize(self.model.transform(prepared).select("_tf"))
-        # The vocabulary is at most `features` long.
-        self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf.toArray() + 1.0
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(self.idf)
-
-        def weigh(v):
-            values = (1.0 + np.log(v.values)) * shared.value[v.indices]
-            size = np.sqrt((values * values).sum())
-            return SparseVector(v.size, v.indices, values / size if size else values)
-
-        counted = self.model.transform(self._prepared(df)).drop("_w1", "_w2", "_terms")
-        if self.characters:
-            # The planner cannot run a Python function on top of the gram lambdas.
-            counted = materialize(counted)
-        weighted = counted.withColumn(self.output, F.udf(weigh, VectorUDT())("_tf"))
-        return weighted.drop("_tf")
-
-
 class TicketModel:
-    """Text TF-IDF, one-hot categories (unknown ones ignored) and a linear classifier."""
+    """Text TF-IDF, one-hot categories (unknown ones ignored) and a classifier: "svc" and "logistic" are fitted for all classes together over the sparse
+    rows (see linear.py), "forest" and "boosted" are Spark ML's trees."""
 
-    def __init__(self, label: str, categories: list[str] = (), kind: str = "svc", balanced: bool = False, c: float = 1.0, features: int = 30_000, characters: bool = False):
-        self.label, self.categories, self.balanced = label, list(categories), balanced
-        self.parts = [TextModel("ticket_text", "_text", features)]
+    def __init__(self, label: str, categories: list[str] = (), kind: str = "svc", balanced: bool = False, c: float = 1.0, features: int = 30_000, characters: bool = False, trees: int = 30):
+        self.label, self.kind, self.balanced, self.c = label, kind, balanced, c
+        parts = [TermPart("ticket_text", features)]
         if characters:
-            self.parts.append(TextModel("ticket_text", "_chars", features, characters=True))
-        reg = 1.0 / (c * 1000.0)
-        if kind == "svc":
-            base = LinearSVC(maxIter=15, regParam=reg)
-            self.classifier = OneVsRest(classifier=base, featuresCol="_features", labelCol="_label", predictionCol="_prediction")
-        elif kind == "forest":
-            self.classifier = RandomForestClassifier(numTrees=30, featuresCol="_features", labelCol="_label", predictionCol="_prediction", seed=42)
-        elif kind == "boosted":
-            base = GBTClassifier(maxIter=5, maxDepth=3, seed=42)
-            self.classifier = OneVsRest(classifier=base, featuresCol="_features", labelCol="_label", predictionCol="_prediction")
-        else:
-            self.classifier = LogisticRegression(maxIter=30, regParam=reg, featuresCol="_features", labelCol="_label", predictionCol="_prediction")
-        if balanced:
+            parts.append(TermPart("ticket_text", features, characters=True))
+        self.vectors = SparseVectors(parts, list(categories))
+        forest = RandomForestClassifier(numTrees=trees, featuresCol="_features", labelCol="_label", predictionCol="_prediction", seed=42)
+        boosted = OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=42), featuresCol="_features", labelCol="_label", predictionCol="_prediction")
+        self.classifier = {"forest": forest, "boosted": boosted}.get(kind)
+        if balanced and self.classifier is not None:
             self.classifier.setWeightCol("weight")
 
-    def _texts(self, df: DataFrame) -> DataFrame:
-        for part in self.parts:
-            df = part.transform(df)
-        return df
-
     def fit(self, df: DataFrame) -> TicketModel:
-        for part in self.parts:
-            part.fit(df)
-        stages: list = []
-        for c in self.categories:
-            stages.append(StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep"))
-            stages.append(OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_o_{c}", handleInvalid="keep"))
-        # Known sizes spare the assembler an action on the data.
-        stages += [VectorSizeHint(inputCol=p.output, size=len(p.idf), handleInvalid="optimistic") for p in self.parts]
-        stages.append(VectorAssembler(inputCols=[p.output for p in self.parts] + [f"_o_{c}" for c in self.categories], outputCol="_features"))
-        indexer = StringIndexer(inputCol=self.label, outputCol="_label", handleInvalid="error").fit(df)
         weighted = with_weights(df, self.label) if self.balanced else df.withColumn("weight", F.lit(1.0))
-        # The optimizers read their input many times: text vectors are computed once.
-        train = materialize(self._texts(indexer.transform(weighted)))
-        self.features = Pipeline(stages=stages).fit(train)
-        self.model = self.classifier.fit(self.features.transform(train).select("_label", "_features", "weight"))
+        # The optimizers read their input many times: vectors are computed once.
+        train = materialize(self.vectors.fit(df).transform(weighted.select("weight", self.label, *[c for c in self._inputs() if c != self.label])))
+        if self.classifier is None:
+            self.model = fit_linear(train, self.label, F.col("weight"), self.vectors.width, self.kind, self.c)
+            discard(train)
+            return self
+        indexer = StringIndexer(inputCol=self.label, outputCol="_label", handleInvalid="error").fit(train)
+        self.model = self.classifier.fit(materialize(ml_vectors(indexer.transform(train), self.vectors.width).select("_label", "_features", "weight")))
         self.names = IndexToString(inputCol="_prediction", outputCol="_name", labels=indexer.labels)
         return self
 
+    def _inputs(self) -> list[str]:
+        return list(dict.fromkeys(["ticket_text", *self.vectors.categories]))
+
     def transform(self, df: DataFrame, output: str) -> DataFrame:
-        scored = self.names.transform(self.model.transform(self.features.transform(self._texts(df))))
+        vectors = self.vectors.transform(df)
+        if self.classifier is None:
+            return self.model.transform(vectors, output)
+        scored = self.names.transform(self.model.transform(ml_vectors(vectors, self.vectors.width)))
         return scored.select(*df.columns, F.col("_name").alias(output))
 
 
+def ml_vectors(df: DataFrame, width: int) -> DataFrame:
+    """``_idx`` and ``_val`` as ``_features``, a Spark ML vector; whole batches at a time."""
+    names = [c for c in df.columns if c not in ("_idx", "_val")]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            fields = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), b.column("_idx"), b.column("_val")]
+            vector = pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], vector], names=[*names, "_features"])
+
+    return df.mapInArrow(packed, StructType([*[df.schema[c] for c in names], StructField("_features", VectorUDT())]))
+
+
 def train_type(train: DataFrame, features: int = 30_000) -> TicketModel:
     return TicketModel("type", c=1.0, features=features).fit(train)
 
 
-# The four queue model variants.
+# The five queue model variants.
 QUEUE_VARIANTS = {
     "v4": dict(categories=["type"], kind="svc", balanced=True, c=1.5),
     "A": dict(kind="logistic", c=2.0),
@@ -176,8 +124,12 @@ QUEUE_VARIANTS = {
 }
 
 
-def train_queue(train: DataFrame, variant: str = "v4", features: int = 40_000) -> TicketModel:
-    return TicketModel("queue", features=features, **QUEUE_VARIANTS[variant]).fit(train)
+# Terms that the variants keep, of words and of characters alike.
+QUEUE_FEATURES = {"v4": 40_000, "A": 100_000, "B": 100_000, "C": 80_000, "D": 100_000}
+
+
+def train_queue(train: DataFrame, variant: str = "v4", features: int | None = None) -> TicketModel:
+    return TicketModel("queue", features=features or QUEUE_FEATURES[variant], **QUEUE_VARIANTS[variant]).fit(train)
 
 
 def train_priority(train: DataFrame, features: int = 30_000) -> TicketModel:
@@ -221,29 +173,26 @@ def benchmark(sets: dict[str, DataFrame], label: str, id_col: str, features: int
     return out
 
 
-def numeric_model(features: list[str], label: str, kind: str = "boosted", trees: int = 20, seed: int = 42, weight: str = "weight") -> Pipeline:
+def numeric_model(features: list[str], label: str, weight: str = "weight") -> Pipeline:
+    """Scaled numbers and a logistic regression."""
     assemble = VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep")
-    if kind == "logistic":
-        scale = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)
-        return Pipeline(stages=[assemble, scale, LogisticRegression(featuresCol="_features", labelCol=label, weightCol=weight, maxIter=50)])
-    boosted = GBTClassifier(featuresCol="_raw", labelCol=label, weightCol=weight, maxIter=trees, maxDepth=5, stepSize=0.1, subsamplingRate=0.85, minInstancesPerNode=3, seed=seed)
-    return Pipeline(stages=[assemble, boosted])
+    scale = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)
+    return Pipeline(stages=[assemble, scale, LogisticRegression(featuresCol="_features", labelCol=label, weightCol=weight, maxIter=50)])
 
 
 def positive_probability(df: DataFrame, column: str = "probability") -> Column:
     return vector_to_array(F.col(column))[1]
 
 
-def log_semantic(df: DataFrame, text: str, label: str, features: int = 20_000) -> tuple[TextModel, PipelineModel]:
+def log_semantic(df: DataFrame, text: str, label: str, features: int = 100_000) -> tuple[SparseVectors, LinearModel]:
     """Linear SVC over log text; the raw margin is the semantic score of a line."""
-    vectorizer = TextModel(text, "_text", features).fit(df)
-    svc = LinearSVC(featuresCol="_text", labelCol=label, maxIter=15, regParam=0.001)
-    return vectorizer, Pipeline(stages=[svc]).fit(materialize(vectorizer.transform(df).select("_text", label)))
+    vectors = SparseVectors([TermPart(text, features)]).fit(df)
+    labelled = vectors.transform(df.select(text, F.col(label).cast("string").alias(label)))
+    return vectors, fit_linear(materialize(labelled), label, F.lit(1.0), vectors.width, "svc", 1.0)
 
 
-def score_logs(df: DataFrame, vectorizer: TextModel, model: PipelineModel) -> DataFrame:
-    scored = model.transform(vectorizer.transform(df))
-    return scored.select(*df.columns, vector_to_array("rawPrediction")[1].alias("margin"))
+def score_logs(df: DataFrame, vectors: SparseVectors, model: LinearModel) -> DataFrame:
+    return model.transform(vectors.transform(df), "_label", "margin").drop("_label")
 
 
 def train_next_anomaly(df: DataFrame, keys: list[str], features: list[str], order: list[str]) -> tuple[PipelineModel, DataFrame]:
@@ -261,50 +210,74 @@ def train_next_anomaly(df: DataFrame, keys: list[str], features: list[str], orde
     split = time_split(rows, [], [*order, *keys], {"train": 0.7, "test": 1.0})
     split = materialize(split)
     train = with_weights(split.filter("split = 'train'"), "target")
-    model = numeric_model(columns, "target", "logistic").fit(train)
+    model = numeric_model(columns, "target").fit(train)
     test = model.transform(split.filter("split = 'test'").withColumn("weight", F.lit(1.0)))
     return model, test.withColumn("incident_risk", positive_probability(test))
 
 
-def train_incident(df: DataFrame, numeric: list[str], category: str, label: str, order: list[str], trees: int = 20) -> tuple[DataFrame, DataFrame]:
+# Settings of the two boosted models.
+INCIDENT_TREES = Settings(trees=300, depth=5, rate=0.05, subsample=0.85, columns=0.85, child_weight=3, gamma=0.1, alpha=0.1, l2=1.0)
+RISK_TREES = Settings(trees=350, depth=5, rate=0.04, subsample=0.80, columns=0.70, child_weight=5, gamma=0.10, alpha=0.10, l2=1.50)
+
+
+def train_incident(df: DataFrame, numeric: list[str], category: str, label: str, order: list[str], settings: Settings = INCIDENT_TREES) -> tuple[DataFrame, DataFrame]:
     """Boosted trees with imputed medians and a one-hot service: 70/15/15 by time, the
-    threshold chosen on the validation rows. Returns (threshold sweep, scored test rows)."""
+    threshold chosen on the validation rows. ``order`` names the rows. Returns (threshold sweep of the validation rows, scored rows of all three parts)."""
     split = time_split(df, [], order, {"train": 0.7, "validation": 0.85, "test": 1.0})
     filled = materialize(impute_median(materialize(split), [], numeric, F.col("split") == "train"))
     train = filled.filter("split = 'train'")
-    ratio = positive_weight(train, label)
-    weighted = filled.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(1.0))
-    encode = Pipeline(stages=[StringIndexer(inputCol=category, outputCol="_i", handleInvalid="keep"), OneHotEncoder(inputCol="_i", outputCol="_o", handleInvalid="keep")])
-    encoder = encode.fit(train)
-    model = numeric_model([*numeric, "_o"], label, "boosted", trees).fit(encoder.transform(weighted.filter("split = 'train'")))
-    scored = model.transform(encoder.transform(weighted.filter("split <> 'train'")))
-    scored = scored.withColumn("risk", positive_probability(scored)).drop("_i", "_o", "_raw", "rawPrediction", "probability", "prediction")
+    known = sorted(r[0] for r in train.select(category).distinct().collect() if r[0] is not None)  # services
+    hot = [F.coalesce((F.col(category) == k).cast("double"), F.lit(0.0)) for k in known]
+    row = F.array(*[F.col(c).cast("double") for c in numeric], *hot)
+    weight = F.when(F.col(label) == 1, positive_weight(train, label)).otherwise(1.0)
+    model = fit_boosted(train.withColumn("_row", row), "_row", label, weight, order, len(numeric) + len(known), settings)
+    scored = materialize(filled.withColumn("risk", model.probability(row)))
     sweep = threshold_sweep(scored.filter("split = 'validation'"), label, "risk", [round(0.05 * i, 2) for i in range(1, 20)])
-    return sweep, scored.filter("split = 'test'")
+    return sweep, scored
+
+
+# Name endings of the twelve features, in the order of the vector.
+FEATURE_ENDINGS = {
+    "value": "", "value_lag_1": "__lag_5m", "value_lag_2": "__lag_10m", "value_lag_3": "__lag_15m", "delta_1": "__delta_5m", "delta_2": "__delta_10m", "delta_3": "__delta_15m",
+    "pct_change_1": "__pct_change_5m", "pct_change_2": "__pct_change_10m", "pct_change_3": "__pct_change_15m", "rolling_mean": "__rolling_mean_15m", "rolling_std": "__rolling_std_15m",
+}
+
+
+def feature_names(metrics: list[str]) -> list[str]:
+    return [m + ending for ending in FEATURE_ENDINGS.values() for m in metrics]
+
+
+def packed_rows(long: DataFrame, at: list[str], metric: str, metrics: list[str], extra: list[Column] = ()) -> DataFrame:
+    """One fixed-layout row per time from the long matrix: all values, then all first lags, and so on (``feature_names``). A metric that a time lacks is null.
+    One grouping by time, in which a row has at most ``metrics`` entries; no join and no column per feature."""
+    place = F.create_map(*[x for i, m in enumerate(metrics) for x in (F.lit(m), F.lit(i))])
+    cell = F.struct(place[F.col(metric)].alias("i"), F.array(*[F.col(c).cast("double") for c in FEATURE_ENDINGS]).alias("x"))
+    rows = long.filter(F.col(metric).isin(metrics)).groupBy(*at).agg(F.map_from_entries(F.collect_set(cell)).alias("_cells"), *extra)
+    index = F.array(*[F.lit(i) for i in range(len(metrics))])
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(len(FEATURE_ENDINGS) - 1)), lambda k: F.transform(index, lambda i: F.get(F.try_element_at(F.col("_cells"), i), k)))
+    return rows.withColumn("features", F.flatten(blocks)).drop("_cells")
 
 
-def risk_vectors(long: DataFrame, at: list[str], metric: str, value: str, metrics: list[str]) -> DataFrame:
-    """Feature vector per time from the long matrix, in fixed metric order: one grouped
-    map per time instead of a plan with a column per metric and feature."""
-    cells = F.map_from_entries(F.collect_list(F.struct(metric, value)))
-    grouped = long.groupBy(*at).agg(cells.alias("_cells"))
-    ordered = F.transform(F.array(*[F.lit(m) for m in metrics]), lambda m: F.coalesce(F.try_element_at(F.col("_cells"), m), F.lit(0.0)))
-    return grouped.select(*at, ordered.alias("values"))
+def train_risk(rows: DataFrame, label: str, order: list[str], metrics: list[str], settings: Settings = RISK_TREES) -> tuple[BoostedModel, DataFrame]:
+    """Boosted trees over packed rows, fitted on the first 70 % of the times (``order``, which names the rows). Returns the model and all rows with ``split`` and ``risk``."""
+    split = materialize(time_split(rows, [], order, {"train": 0.7, "validation": 0.85, "test": 1.0}))
+    train = split.filter("split = 'train'")
+    weight = F.when(F.col(label) == 1, positive_weight(train, label)).otherwise(1.0)
+    model = fit_boosted(train, "features", label, weight, order, len(FEATURE_ENDINGS) * len(metrics), settings)
+    return model, materialize(split.withColumn("risk", model.probability(F.col("features"))))
 
 
-def feature_importance(model: PipelineModel, names: list[str], spark) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
+def feature_importance(model: BoostedModel, names: list[str], spark) -> DataFrame:
+    return spark.createDataFrame(list(model.importance(names).items()), "feature string, importance double")
 
 
-def score_risk(df: DataFrame, model: PipelineModel, ts: str, threshold: float = 0.25, last: int | None = None) -> DataFrame:
-    """Risk, level and alert flag for every row, or for the last timestamps only."""
+def score_risk(df: DataFrame, model: BoostedModel, ts: str, threshold: float = 0.25, last: int | None = None) -> DataFrame:
+    """Risk, level and alert flag for every packed row, or for the last timestamps only."""
     if last:
         recent = df.select(ts).distinct().orderBy(F.col(ts).desc()).limit(last)
         df = df.join(recent, ts, "left_semi")
-    scored = model.transform(df.withColumn("weight", F.lit(1.0)))
-    risk = scored.withColumn("risk", positive_probability(scored))
-    return risk.select(*df.columns, "risk", prob_level(F.col("risk"), ALERT_CUTS).alias("risk_level"), (F.col("risk") >= threshold).alias("alert"))
+    scored = df.drop("risk").withColumn("risk", model.probability(F.col("features")))
+    return scored.withColumns({"risk_level": prob_level(F.col("risk"), ALERT_CUTS), "alert": F.col("risk") >= threshold})
 
 
 def risk_kpis(scored: DataFrame) -> DataFrame:
