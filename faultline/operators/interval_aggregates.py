@@ -2,7 +2,7 @@
 
 * ``rank_range``: points are numbered along time, and the ends of an interval are looked up among those numbers; what lies inside is a range of numbers.
 * ``interval_statistics``: ranges are covered by at most 6 blocks a level of sizes 1, 4, 16 ..., whose sums are added; order statistics
-  come from the points of short ranges, and from a search by digits of the value's rank for long ones.
+  come by a search by digits of the value's rank. Short ranges, of a bounded number of points, are read as they are.
 * ``winners``: overlapping intervals become disjoint segments, each with the interval that counts in it.
 * ``multiplicity``: in how many intervals of a kind each point lies.
 """
@@ -23,7 +23,7 @@ from faultline.session import materialize, ship_package
 AT, KIND, TIE, POINT, ASK = "_at", "_kind", "_tie", "_point", "_ask"
 BASE = 4
 #: Ranges with at most so many points are read point by point.
-SHORT = 512
+SHORT = 256
 DIGIT = 4
 
 
@@ -117,21 +117,28 @@ def _long_quantiles(numbered: DataFrame, ranges: DataFrame, series: list[str], a
     return values.groupBy(*series, *ask).agg(((F.min("value") + F.max("value")) / 2).alias("median"))
 
 
-def interval_statistics(points: DataFrame, intervals: DataFrame, keys: list[str], series: list[str], ts: str, tie: str, ids: list[str], start: str, end: str, spread: bool = False, short: int = SHORT) -> DataFrame:
-    """Statistics of ``value`` and ``z`` for each interval (``ids``) and each series of its key that has a point in it, ends included: n, mean, std, min,
-    max, last, anomaly_count and anomaly_rate (|z| > 3), max_abs_z, median, and with ``spread`` the MAD.
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array; null if it is empty."""
+    size = F.size(ordered)
+    return (F.get(ordered, F.floor((size - 1) / 2).cast("int")) + F.get(ordered, F.floor(size / 2).cast("int"))) / 2
 
-    A range of at most ``short`` points is read point by point for its median; longer ones are searched by digits. The MAD of a longer range is taken
-    over its points, as the distances of each range have an order of their own."""
-    points = points.select(*dict.fromkeys([*series, ts, tie, "value", "z"]))
-    lines = join_on(intervals.select(*dict.fromkeys([*keys, *ids, start, end])), points.select(*series).distinct(), keys)
-    asked = [c for c in ids if c not in series]
-    line = materialize(_numbered_line(points, lines, series, ts, tie, F.col(start), F.col(end), asked))
-    numbered = materialize(line.filter(F.col(POINT).isNotNull()).select(*series, (F.col("_n") - 1).alias("rank"), f"{POINT}.value", f"{POINT}.z"))
-    ranges = _ranges(line, series).filter(F.col("after") > F.col("first")).select(*series, f"{ASK}.*", "first", "after")
-    ranges = materialize(ranges)
-    group = [*series, *asked]
-    longest = ranges.agg(F.max(F.col("after") - F.col("first"))).first()[0] or 1
+
+def _short_statistics(numbered: DataFrame, ranges: DataFrame, by: list[str], asked: list[str], group: list[str]) -> DataFrame:
+    """All statistics from the points of each range of the lines ``by``; a range has few, so its values fit one row."""
+    listed = ranges.select(*by, *asked, F.explode(F.sequence("first", F.col("after") - 1)).alias("rank"))
+    seen = join_on(listed, numbered, [*by, "rank"])
+    strong = F.coalesce(F.abs(F.col("z")) > 3, F.lit(False))
+    found = seen.groupBy(*group).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.max_by("value", "rank").alias("last"),
+        F.count_if(strong).alias("anomaly_count"), F.avg(strong.cast("int")).alias("anomaly_rate"), F.max(F.abs(F.col("z"))).alias("max_abs_z"), F.sort_array(F.collect_list("value")).alias("_values"),
+    )
+    found = found.withColumn("median", _middle(F.col("_values")))
+    apart = F.sort_array(F.transform("_values", lambda v: F.abs(v - F.col("median"))))
+    return found.withColumn("mad", _middle(apart)).drop("_values")
+
+
+def _long_statistics(numbered: DataFrame, ranges: DataFrame, series: list[str], asked: list[str], group: list[str], longest: int, spread: bool) -> DataFrame:
+    """The same from blocks, and the median by digits."""
     levels = _levels_for(longest)
     centred = join_on(numbered, numbered.groupBy(*series).agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("centre")), series)
     level = materialize(centred.groupBy(*series, F.col("rank").alias("block"), "centre").agg(*_statistics(F.col("value"), F.col("z"), F.col("centre"))))
@@ -140,35 +147,58 @@ def interval_statistics(points: DataFrame, intervals: DataFrame, keys: list[str]
         level = materialize(level.withColumn("block", F.expr(f"block div {BASE}")).groupBy(*series, "block", "centre").agg(*_merged()))
         blocks = blocks.unionByName(level.withColumn("level", F.lit(i)))
     covered = ranges.select(*group, F.explode(_cover(levels)).alias("_b")).select(*group, "_b.*")
-    sums = join_on(covered, blocks, [*series, "level", "block"]).groupBy(*group).agg(F.first("centre").alias("centre"), *_merged())
+    sums = materialize(join_on(covered, blocks, [*series, "level", "block"]).groupBy(*group).agg(F.first("centre").alias("centre"), *_merged()))
     last = join_on(ranges.select(*group, (F.col("after") - 1).alias("rank")), numbered.select(*series, "rank", F.col("value").alias("last")), [*series, "rank"]).drop("rank")
-    sums = materialize(sums)
-    sized = join_on(ranges, sums.select(*group, "n"), group)
-    brief = (F.col("after") - F.col("first")) <= short
-    listed = sized.filter(brief).select(*group, F.explode(F.sequence("first", F.col("after") - 1)).alias("rank"))
-    values = join_on(listed, numbered.select(*series, "rank", "value"), [*series, "rank"]).drop("rank")
-    order = values.groupBy(*group).agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    long = sized.filter(~brief & (F.col("n") > 0))
-    if longest > short:
-        order = order.unionByName(_long_quantiles(numbered, long, series, asked))
-    order = materialize(order)
-    out = join_on(join_on(sums, last, group, "left"), order, group, "left")
+    medians = materialize(_long_quantiles(numbered, join_on(ranges, sums.select(*group, "n"), group).filter("n > 0"), series, asked))
+    out = join_on(join_on(sums, last, group, "left"), medians, group, "left")
     n = F.col("n")
     variance = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)))
     out = out.select(
-        *group, "n", (F.col("centre") + F.col("s1") / F.nullif(n, F.lit(0))).alias("mean"), "median", F.sqrt(variance).alias("std"), "min", "max", "last",
-        F.col("strong").alias("anomaly_count"), (F.col("strong") / F.col("rows")).alias("anomaly_rate"), "max_abs_z",
+        *group, "n", (F.col("centre") + F.col("s1") / F.nullif(n, F.lit(0))).alias("mean"), F.sqrt(variance).alias("std"), "min", "max", "last",
+        F.col("strong").alias("anomaly_count"), (F.col("strong") / F.col("rows")).alias("anomaly_rate"), "max_abs_z", "median",
     )
     if not spread:
-        return out
-    every = values
-    if longest > short:
-        more = long.select(*group, F.explode(F.sequence("first", F.col("after") - 1)).alias("rank"))
-        every = every.unionByName(join_on(more, numbered.select(*series, "rank", "value"), [*series, "rank"]).drop("rank"))
-    apart = join_on(every, order, group).withColumn("_d", F.abs(F.col("value") - F.col("median")))
+        return out.withColumn("mad", F.lit(None).cast("double"))
+    every = join_on(ranges.select(*group, F.explode(F.sequence("first", F.col("after") - 1)).alias("rank")), numbered, [*series, "rank"])
+    apart = join_on(every, medians, group).withColumn("_d", F.abs(F.col("value") - F.col("median")))
     return join_on(out, quantiles_by(apart, group, {"mad": ("_d", 0.5)}), group, "left")
 
 
+def interval_statistics(points: DataFrame, intervals: DataFrame, keys: list[str], series: list[str], ts: str, tie: str, ids: list[str], start: str, end: str, spread: bool = False, short: int = SHORT) -> DataFrame:
+    """Statistics of ``value`` and ``z`` for each interval (``ids``) and each series of its key that has a point in it, ends included: n, mean, median, std, min,
+    max, last, anomaly_count and anomaly_rate (|z| > 3), max_abs_z, and with ``spread`` the MAD.
+
+    A range of at most ``short`` points is read point by point. A longer one is covered by blocks, and its median searched by digits; its MAD is taken
+    over its points, as the distances of each range have an order of their own."""
+    points = points.select(*dict.fromkeys([*series, ts, tie, "value", "z"]))
+    asked = [c for c in ids if c not in series]
+    group = [*series, *asked]
+    intervals = intervals.select(*dict.fromkeys([*keys, *asked]), F.col(start).alias("_start"), F.col(end).alias("_end"))
+    numbered, ranges = _looked_up(points, intervals, keys, series, ts, tie)
+    length = F.col("after") - F.col("first")
+    out = _short_statistics(numbered, ranges.filter(length <= short), keys, asked, group)
+    if (ranges.agg(F.max(length)).first()[0] or 0) > short:
+        # Many points of a key: now each of its series is a line of its own.
+        lines = join_on(ranges.filter(length > short).drop("first", "after"), points.select(*series).distinct(), keys)
+        numbered, ranges = _looked_up(points, lines, series, series, ts, tie)
+        out = out.unionByName(_short_statistics(numbered, ranges.filter(length <= short), series, asked, group))
+        longest = ranges.agg(F.max(length)).first()[0] or 0
+        if longest > short:
+            out = out.unionByName(_long_statistics(numbered, ranges.filter(length > short), series, asked, group, longest, spread))
+    columns = ["n", "mean", "median", "std", "min", "max", "last", "anomaly_count", "anomaly_rate", "max_abs_z"]
+    return out.select(*group, *columns, *(["mad"] if spread else []))
+
+
+def _looked_up(points: DataFrame, intervals: DataFrame, by: list[str], series: list[str], ts: str, tie: str) -> tuple[DataFrame, DataFrame]:
+    """Points with their ``rank`` in the lines ``by``, and the intervals that have any, with first and after."""
+    columns = [c for c in intervals.columns if c not in by]
+    line = materialize(_numbered_line(points, intervals, by, ts, tie, F.col("_start"), F.col("_end"), columns))
+    rest = [c for c in series if c not in by]
+    numbered = line.filter(F.col(POINT).isNotNull()).select(*by, *[F.col(f"{POINT}.{c}").alias(c) for c in rest], (F.col("_n") - 1).alias("rank"), f"{POINT}.value", f"{POINT}.z")
+    found = _ranges(line, by).filter(F.col("after") > F.col("first")).select(*by, f"{ASK}.*", "first", "after")
+    return numbered, materialize(found)
+
+
 def _stack(rows: Iterable[tuple], held: list[tuple], begin: int | None, until: int | None) -> tuple[list[tuple], list[tuple]]:
     """Segments (from, to, id) of rows (start, end, id) in order of start and id, and what is open at the end. Of the open intervals the latest one
     counts; one that ends no later than a later one never counts again. ``held``: open ones from before, latest last; ``until``: last time to fill."""

@@ -42,7 +42,7 @@ def close(a, b):
     return (a is None and b is None) or (a is not None and b is not None and abs(a - b) < 1e-9)
 
 
-@pytest.mark.parametrize("short", [4, 512])
+@pytest.mark.parametrize("short", [4, 256])
 def test_statistics_against_a_loop(session, short):
     points, intervals = make(1, 400, 60, 300)
     p, i = session.createDataFrame(points, POINTS), session.createDataFrame(intervals, INTERVALS)
