@@ -13,6 +13,7 @@ from faultline.operators.events import failure_mask
 from faultline.operators.incidents import top_k, top_k_by
 from faultline.operators.quantiles import quantiles_by
 from faultline.operators.skew import join_on
+from faultline.session import materialize
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
@@ -110,27 +111,30 @@ def impute_median(df: DataFrame, keys: list[str], columns: list[str], fit_on: Co
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """Type, missing, distinct, min, mean and max of every column: one aggregate pass,
-    turned to one row per column."""
-    aggregates, rows = [F.count(F.lit(1)).alias("_rows")], []
-    for i, f in enumerate(df.schema.fields):
+    """A row for each column: type, missing, distinct values, and for numbers min, mean, max, std and quartiles.
+
+    Two passes: one aggregate, and (column, value) counts, which combine before they move and give the distinct values; distincts in one aggregate would
+    repeat every row for each column."""
+    cells = []
+    for f in df.schema.fields:
         numeric = isinstance(f.dataType, T.NumericType)
-        aggregates += [F.count(f.name).alias(f"_n{i}"), F.count_distinct(f.name).alias(f"_d{i}")]
-        if numeric:
-            aggregates += [g(f.name).cast("double").alias(f"_{n}{i}") for n, g in (("lo", F.min), ("av", F.avg), ("hi", F.max))]
-        pick = lambda n, i=i, numeric=numeric: F.col(f"_{n}{i}") if numeric else F.lit(None).cast("double")
-        rows.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                (F.col("_rows") - F.col(f"_n{i}")).alias("missing"),
-                F.col(f"_d{i}").alias("unique_values"),
-                pick("lo").alias("min"),
-                pick("av").alias("mean"),
-                pick("hi").alias("max"),
-            )
-        )
-    return df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        number = F.col(f.name).cast("double") if numeric else F.lit(None).cast("double")
+        cells.append(F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).cast("string").alias("value"), number.alias("x")))
+    counts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("column_name", "value", "x").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts)
+    n, x = F.col("n"), F.col("x")
+    rows = F.sum(F.when(x.isNotNull(), n))
+    mean = F.sum(x * n) / rows
+    found = quantiles_by(
+        counts, ["column_name"], {f"q{int(q * 100)}": ("x", q) for q in (0.25, 0.5, 0.75)},
+        [F.coalesce(F.sum(F.when(F.col("value").isNull(), n)), F.lit(0)).alias("missing"), F.count("value").alias("unique_values"), F.min("x").alias("min"), mean.alias("mean"), F.max("x").alias("max"), rows.alias("_rows")], "n",
+    )
+    apart = join_on(counts, found.select("column_name", "mean"), ["column_name"])
+    spread = apart.groupBy("column_name").agg(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("_apart"))
+    out = join_on(found, spread, ["column_name"], "left").withColumn("std", F.sqrt(F.col("_apart") / F.nullif(F.col("_rows") - 1, F.lit(0))))
+    kinds = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column_name string, data_type string")
+    out = kinds.join(out, "column_name", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("missing", "unique_values")})
+    return out.select("column_name", "data_type", "missing", "unique_values", "min", "mean", "max", "std", "q25", "q50", "q75")
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 20) -> DataFrame:
@@ -254,8 +258,15 @@ def recent_metrics(df: DataFrame, ts: str, at: Column, minutes: int, ids: list[s
     return melt(near.select(*ids, *values), ids, values)
 
 
+# Columns that are never features.
+NO_METRICS = [
+    "timestamp", "incident_now", "incident_next_5m", "incident_next_10m", "incident_next_15m", "incident_next_30m",
+    "minutes_to_next_fault", "next_fault_timestamp", "fault_timestamp",
+]
+
+
 def select_base_metrics(df: DataFrame, limit: int = 115, exclude: list[str] = ()) -> list[str]:
-    """Numeric columns for modelling: mean columns first, then the others."""
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
-    means = [c for c in numeric if c.endswith("__mean")]
+    """Numeric columns for modelling: those with "_mean" anywhere in their name first, in any case of letters, then the others."""
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in (*NO_METRICS, *exclude)]
+    means = [c for c in numeric if "_mean" in c.lower()]
     return (means + [c for c in numeric if c not in means])[:limit]

@@ -16,10 +16,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.text import ENGLISH_STOP_WORDS
 from faultline.operators.skew import join_on, range_numbered
 from faultline.session import materialize, ship_package, spread
 
@@ -27,10 +27,6 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 DIGITS = 9
 
 
-def english_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def tokens(text: Column, stop_words: list[str] = ()) -> Column:
     """Words of two and more characters, in text order."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
@@ -486,19 +482,32 @@ def label_similarity(weights: DataFrame, c: DataFrame, id_col: str) -> DataFrame
 
 
 def label_consistency(scores: DataFrame, labels: DataFrame, id_col: str, margin: float = 0.10) -> DataFrame:
-    """Similarity to the own and to the best label; far better other labels are flagged."""
+    """Similarity to the own and to the best label; far better other labels are flagged. Every document of ``labels`` has a row: without
+    a common term a similarity is 0, and a document without any term is nearest to the label that sorts first."""
     own = labels.select(F.col("id").alias(id_col), F.col("label").alias("assigned"))
-    joined = scores.join(own, id_col)
     # At equal similarity the label that sorts first wins.
-    out = joined.groupBy(id_col, "assigned").agg(
-        F.max(F.when(F.col("label") == F.col("assigned"), F.col("similarity"))).alias("assigned_similarity"),
-        F.min(F.struct((-F.round("similarity", DIGITS)).alias("s"), "label")).alias("_best"),
-        F.max("similarity").alias("best_similarity"),
+    found = own.join(scores, id_col, "left").groupBy(id_col, "assigned").agg(
+        F.coalesce(F.max(F.when(F.col("label") == F.col("assigned"), F.col("similarity"))), F.lit(0.0)).alias("assigned_similarity"),
+        F.min(F.when(F.col("label").isNotNull(), F.struct((-F.round("similarity", DIGITS)).alias("s"), "label"))).alias("_best"),
+        F.coalesce(F.max("similarity"), F.lit(0.0)).alias("best_similarity"),
     )
-    out = out.withColumns({"best_label": F.col("_best.label"), "margin": F.col("best_similarity") - F.coalesce("assigned_similarity", F.lit(0.0))})
+    first = own.agg(F.min("assigned")).scalar()
+    out = found.withColumns({"best_label": F.coalesce(F.col("_best.label"), first), "margin": F.col("best_similarity") - F.col("assigned_similarity")})
     return out.withColumn("potentially_inconsistent", (F.col("best_label") != F.col("assigned")) & (F.col("margin") >= margin)).drop("_best")
 
 
+def suspicious_labels(consistency: DataFrame, id_col: str, k: int = 300) -> DataFrame:
+    """The k flagged documents with the largest margins."""
+    return consistency.filter("potentially_inconsistent").orderBy(F.round("margin", DIGITS).desc(), id_col).limit(k)
+
+
+def error_keywords(df: DataFrame, id_col: str, text: str, y: str, p: str, k: int = 30, max_features: int = 10_000) -> DataFrame:
+    """The k heaviest terms of each class among the wrongly predicted rows: (label, term, weight, rank). TF-IDF of those rows alone, without stop words."""
+    wrong = materialize(df.filter(F.col(y) != F.col(p)).select(F.col(id_col).alias("id"), F.col(y).alias("label"), F.col(text).alias("t")))
+    weights = materialize(tfidf(wrong, "id", tokens(F.col("t"), ENGLISH_STOP_WORDS), max_features=max_features))
+    return top_keywords(centroids(weights, wrong.select("id", "label"), "id"), k)
+
+
 def representatives(scores: DataFrame, labels: DataFrame, id_col: str, k: int = 10) -> DataFrame:
     """The k documents of each label nearest to its centroid."""
     own = join_on(scores, labels.select(F.col("id").alias(id_col), "label"), [id_col, "label"])

@@ -30,6 +30,17 @@ def split(spark, d):
     return s.filter("split = 'train'").drop("split"), s.filter("split = 'test'").drop("split")
 
 
+_fitted: dict[tuple, object] = {}
+
+
+def kept(spark, d, name, fit):
+    """A model of the application: fitted once for each folder, then shared by the queries that use it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _fitted:
+        _fitted[key] = fit(spark, d)
+    return _fitted[key]
+
+
 @query("g04_stratified_split", with_views('SELECT "type", CAST(n - t AS BIGINT) AS train_rows, CAST(t AS BIGINT) AS test_rows FROM (SELECT "type", count(*) AS n, round(count(*) * 0.2) AS t FROM tickets GROUP BY 1)', "tickets"))
 def _(spark, d):
     s = ml.stratified_split(ds.tickets(spark, d).select("doc_id", "type"), ["type"], "doc_id")
@@ -109,14 +120,14 @@ def cascade(spark, d):
 
 @query("g03_g09_predict_tickets")
 def _(spark, d):
-    models, test = cascade(spark, d)
+    models, test = kept(spark, d, "cascade", cascade)
     return ml.predict_tickets(test, models).select("doc_id", "type", "queue", "priority")
 
 
 @query("g09_cascade_labels", LABELS_SQL)
 def _(spark, d):
     """Every test ticket gets one known label of each kind; the type, which can be learned, is right for nine of ten."""
-    models, test = cascade(spark, d)
+    models, test = kept(spark, d, "cascade", cascade)
     found = ml.predict_tickets(test, models).select("doc_id", F.col("type").alias("p"), F.col("queue").alias("q"), F.col("priority").alias("r"))
     both = found.join(test.select("doc_id", "type"), "doc_id")
     known = lambda c, names: F.coalesce(F.every(F.col(c).isin(names)), F.lit(False))
@@ -194,17 +205,6 @@ def parts(scored, label):
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("positives"), F.lit(fitted).alias("fits"))
 
 
-_fitted: dict[tuple, object] = {}
-
-
-def kept(spark, d, name, fit):
-    """A model of the application: fitted once for each folder, then shared by the queries that use it."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _fitted:
-        _fitted[key] = fit(spark, d)
-    return _fitted[key]
-
-
 def incident_model(spark, d):
     return ml.train_incident(prediction_rows(spark, d), NUMERIC, "service", "incident_next_15m", ["slot", "service", "metric"])
 

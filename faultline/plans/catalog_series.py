@@ -191,6 +191,20 @@ def _(spark, d):
     return rounded(tsr.temporal_matrix(ds.telemetry(spark, d), SERIES, "ts", "value").select("point_id", "value", *TM_COLS))
 
 
+@query(
+    "e24_serving_matrix",
+    with_views(
+        "SELECT point_id, value, "
+        + ", ".join(f"value_lag_{n}, round(value - value_lag_{n}, 6) + 0.0 AS delta_{n}, round(value / nullif(value_lag_{n}, 0) - 1, 6) + 0.0 AS pct_change_{n}" for n in (1, 2, 3))
+        + f", round(rm, 6) + 0.0 AS rolling_mean, round(rsd, 6) + 0.0 AS rolling_std FROM (SELECT *, lag(value) OVER ({W}) AS value_lag_1, lag(value, 2) OVER ({W}) AS value_lag_2, lag(value, 3) OVER ({W}) AS value_lag_3, avg(value) OVER {frame_sql(3, False)} AS rm, stddev_samp(value) OVER {frame_sql(3, False)} AS rsd FROM telemetry)",
+        "telemetry",
+    ),
+)
+def _(spark, d):
+    """The form that scores the latest time: the present value counts in the rolling statistics, changes are not clipped."""
+    return rounded(tsr.temporal_matrix(ds.telemetry(spark, d), SERIES, "ts", "value", serving=True).select("point_id", "value", *TM_COLS))
+
+
 VOTES_SQL = """SELECT *, robust_z_prediction + rolling_mad_prediction + ewma_prediction AS metric_anomaly_votes, CASE WHEN robust_z_prediction + rolling_mad_prediction + ewma_prediction >= 1 THEN 1 ELSE 0 END AS metric_anomaly,
  greatest(robust_z_score, rolling_mad_score, ewma_score) AS metric_anomaly_score FROM dp"""
 MW_SQL = """SELECT *, CASE WHEN metric_anomaly_points >= 1 THEN 1 ELSE 0 END AS metric_anomaly FROM (SELECT service, time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(value) AS metric_points, sum(metric_anomaly) AS metric_anomaly_points, avg(metric_anomaly) AS metric_anomaly_rate,

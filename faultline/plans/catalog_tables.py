@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -43,13 +42,16 @@ def _(spark, d):
 @query("a03_read_series", with_views("SELECT service AS family, metric AS series_id, count(*) AS n, round(avg(value), 6) AS mean, CAST(sum(label) AS BIGINT) AS anomalies FROM telemetry GROUP BY 1, 2 HAVING count(*) >= 200", "telemetry"))
 def _(spark, d):
     path = scratch_path(spark, "series")
-    t = ds.telemetry(spark, d).select("service", F.col("metric").alias("file"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), "value", "label")
-    t.repartition("service", "file").write.option("header", "true").partitionBy("service", "file").csv(path)
-    # The folders play the role of the file tree: service=<family>/file=<series>.
-    raw = spark.read.schema(tb.SERIES_SCHEMA).option("header", "true").csv(f"{path}/*/*/*.csv")
-    where = F.col("_metadata.file_path")
-    named = raw.select("*", F.regexp_extract(where, "service=([^/]+)", 1).alias("family"), F.regexp_extract(where, "file=([^/]+)", 1).alias("series_id"))
-    kept = tb.long_enough(named, ["family", "series_id"], 200)
+    t = ds.telemetry(spark, d).select("service", "metric", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), "value", "label")
+    t.repartition("service", "metric").write.option("header", "true").partitionBy("service", "metric").csv(path)
+    files = spark.read.text(f"{path}/*/*/*.csv").select(F.col("_metadata.file_path").alias("f")).distinct()
+    named = files.select("f", F.regexp_extract("f", "service=([^/]+)", 1).alias("family"), F.regexp_extract("f", "metric=([^/]+)", 1).alias("series"))
+    folders = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for r in named.collect():  # one file for each series, moved to <family>/<series>.csv as the series come
+        folders.mkdirs(at(f"{path}/tree/{r['family']}"))
+        folders.rename(at(r["f"]), at(f"{path}/tree/{r['family']}/{r['series']}.csv"))
+    kept = tb.read_series(spark, f"{path}/tree/*/*.csv", 200)
     return rounded(kept.groupBy("family", "series_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.sum("label").alias("anomalies")))
 
 
@@ -104,13 +106,10 @@ def _(spark, d):
 
 @query("a08_load_table", "SELECT count(*) AS loaded_rows FROM customer")
 def _(spark, d):
-    name = f"customer_{uuid.uuid4().hex[:12]}"
     path = scratch_path(spark, "customer_table")
-    rows = ds.table(spark, d, "customer")
-    rows.write.mode("overwrite").option("path", path).saveAsTable(name)
-    loaded = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("loaded_rows"))
-    spark.sql(f"DROP TABLE {name}")
-    return loaded
+    tb.load_table(ds.table(spark, d, "nation"), path)
+    tb.load_table(ds.table(spark, d, "customer"), path)
+    return tb.VersionedTable(spark, path).rows().agg(F.count(F.lit(1)).alias("loaded_rows"))
 
 
 HIST_SQL = """SELECT doc_id AS id, subject || ' ' || body AS ticket_text, "type" AS ticket_type, priority, queue, round(0.5 + (doc_id % 50) / 100.0, 4) AS confidence, TIMESTAMP '2024-01-01' + to_hours(doc_id % 480) AS created_at FROM tickets"""
@@ -396,11 +395,14 @@ def _(spark, d):
 EVENT_COLS = ["event_id", "service", "event_type", "duration_ms", "status_code", "path"]
 
 
+NUMBERS = {"min": "min({c})", "mean": "avg({c})", "max": "max({c})", "std": "stddev_samp({c})", **{f"q{q}": f"quantile_cont(CAST({{c}} AS DOUBLE), 0.{q})" for q in (25, 50, 75)}}
+
+
 @query(
     "d25_profile_columns",
     with_views(
         " UNION ALL ".join(
-            f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS unique_values, " + (f"round(min({c}), 6) + 0.0 AS \"min\", round(avg({c}), 6) + 0.0 AS mean, round(max({c}), 6) + 0.0 AS \"max\"" if t in ("bigint", "double", "int") else 'CAST(NULL AS DOUBLE) AS "min", CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS "max"') + " FROM ops_events"
+            f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS unique_values, " + (", ".join(f'round({f.format(c=c)}, 6) + 0.0 AS "{n}"' for n, f in NUMBERS.items()) if t in ("bigint", "double", "int") else ", ".join(f'CAST(NULL AS DOUBLE) AS "{n}"' for n in NUMBERS)) + " FROM ops_events"
             for c, t in {"event_id": "bigint", "service": "string", "event_type": "string", "duration_ms": "double", "status_code": "int", "path": "string"}.items()
         ),
         "ops_events",
@@ -619,8 +621,9 @@ def _(spark, d):
     return ql.recent_metrics(t, "ts", F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), 1440, ["point_id"], ["value", "label"])
 
 
-@query("g19_base_metrics", "SELECT l_returnflag, round(avg(l_quantity), 6) AS quantity__mean, round(avg(l_tax), 6) AS tax__mean, round(max(l_discount), 6) AS discount__max FROM lineitem GROUP BY l_returnflag")
+@query("g19_base_metrics", "SELECT l_returnflag, round(avg(l_quantity), 6) AS Quantity_MEAN_lag, round(avg(l_tax), 6) AS tax__mean, round(max(l_discount), 6) AS discount__max FROM lineitem GROUP BY l_returnflag")
 def _(spark, d):
-    wide = ds.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.max("l_discount").alias("discount__max"), F.avg("l_quantity").alias("quantity__mean"), F.count(F.lit(1)).alias("rows"), F.avg("l_tax").alias("tax__mean"))
+    wide = ds.table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.max("l_discount").alias("discount__max"), F.count(F.lit(1)).alias("incident_now"), F.avg("l_quantity").alias("Quantity_MEAN_lag"), F.count(F.lit(1)).alias("rows"), F.avg("l_tax").alias("tax__mean")
+    )
     return rounded(wide.select("l_returnflag", *ql.select_base_metrics(wide, 3, ["rows"])))
-

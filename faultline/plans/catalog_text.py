@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.functions.text import normalize_text
+from faultline.functions.text import ENGLISH_STOP_WORDS, normalize_text
 from faultline.operators import similarity as sim
 from faultline.plans.catalog_tables import NORMAL
 from faultline.plans.registry import query, rnd, rounded
@@ -27,8 +27,12 @@ PAIRS = "SELECT a.id, b.id AS neighbour, round(sum(a.weight * b.weight), 9) AS s
 NN_SQL = "SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rk FROM pa"
 
 
-def text_sql(body: str, **extra: str) -> str:
-    return with_views(body, "tickets", **TF_SQL, **extra)
+def text_sql(body: str, views: dict[str, str] = TF_SQL, **extra: str) -> str:
+    return with_views(body, "tickets", **{**views, **extra})
+
+
+STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
+STOP_SQL = {**TF_SQL, "tk": "SELECT id, list_filter(" + TOKENS.format(t="t") + f", lambda x: x NOT IN ({STOPPED})) AS w FROM tx"}
 
 
 def texts(spark, d):
@@ -36,8 +40,8 @@ def texts(spark, d):
     return ds.as_tickets(t).select(F.col("doc_id").alias("id"), F.col("queue").alias("label"), normalize_text(F.concat_ws(" ", "subject", "body")).alias("t"))
 
 
-def weights(spark, d):
-    return materialize(sim.tfidf(texts(spark, d), "id", sim.tokens(F.col("t"))))
+def weights(spark, d, stop_words=()):
+    return materialize(sim.tfidf(texts(spark, d), "id", sim.tokens(F.col("t"), stop_words)))
 
 
 def labels(spark, d):
@@ -128,8 +132,8 @@ CENT_SQL = {
 }
 
 
-def centroid_scores(spark, d):
-    w = weights(spark, d)
+def centroid_scores(spark, d, stop_words=()):
+    w = weights(spark, d, stop_words)
     c = materialize(sim.centroids(w, labels(spark, d), "id"))
     return c, sim.label_similarity(w, c, "id")
 
@@ -139,15 +143,23 @@ def _(spark, d):
     return rounded(sim.centroid_similarity(sim.centroids(weights(spark, d), labels(spark, d), "id")))
 
 
-CONSIST = "SELECT id, x.label AS assigned, max(CASE WHEN sc.label = x.label THEN s END) AS assigned_similarity, arg_min(sc.label, {'s': -round(s, 9), 'l': sc.label}) AS best_label, max(s) AS best_similarity FROM sc JOIN tx x USING (id) GROUP BY 1, 2"
+CONSIST = "SELECT id, x.label AS assigned, coalesce(max(CASE WHEN sc.label = x.label THEN s END), 0) AS assigned_similarity, coalesce(arg_min(sc.label, {'s': -round(s, 9), 'l': sc.label}), (SELECT min(label) FROM tx)) AS best_label, coalesce(max(s), 0) AS best_similarity FROM tx x LEFT JOIN sc USING (id) GROUP BY 1, 2"
+CONSISTENT = "SELECT id, assigned, round(assigned_similarity, 6) AS assigned_similarity, best_label, round(best_similarity, 6) AS best_similarity, round(best_similarity - assigned_similarity, 6) + 0.0 AS margin, best_label <> assigned AND best_similarity - assigned_similarity >= 0.1 AS potentially_inconsistent FROM cn"
 
 
-@query("g21_label_consistency", text_sql("SELECT id, assigned, round(assigned_similarity, 6) AS assigned_similarity, best_label, round(best_similarity, 6) AS best_similarity, round(best_similarity - assigned_similarity, 6) + 0.0 AS margin, best_label <> assigned AND best_similarity - assigned_similarity >= 0.1 AS potentially_inconsistent FROM cn", **CENT_SQL, cn=CONSIST))
+@query("g21_label_consistency", text_sql(CONSISTENT, **CENT_SQL, cn=CONSIST))
 def _(spark, d):
     _, scores = centroid_scores(spark, d)
     return rounded(sim.label_consistency(scores, labels(spark, d), "id"))
 
 
+@query("g21_suspicious_labels", text_sql(CONSISTENT + " WHERE best_label <> assigned AND best_similarity - assigned_similarity >= 0.1 ORDER BY round(best_similarity - assigned_similarity, 9) DESC, id LIMIT 300", STOP_SQL, **CENT_SQL, cn=CONSIST))
+def _(spark, d):
+    """The 300 worst, without stop words."""
+    _, scores = centroid_scores(spark, d, ENGLISH_STOP_WORDS)
+    return rounded(sim.suspicious_labels(sim.label_consistency(scores, labels(spark, d), "id"), "id"))
+
+
 @query("g22_representatives", text_sql("SELECT * FROM (SELECT id, sc.label, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY sc.label ORDER BY round(s, 9) DESC, id) AS INTEGER) AS \"rank\" FROM sc JOIN tx x USING (id) WHERE sc.label = x.label) WHERE \"rank\" <= 10", **CENT_SQL))
 def _(spark, d):
     _, scores = centroid_scores(spark, d)
@@ -159,6 +171,33 @@ def _(spark, d):
     return rounded(sim.top_keywords(sim.centroids(weights(spark, d), labels(spark, d), "id"), 15))
 
 
+@query("g20_centroids_without_stop_words", text_sql("SELECT a.label AS label_a, b.label AS label_b, round(sum(a.weight * b.weight) / (any_value(x.l) * any_value(y.l)), 6) AS similarity FROM ct a JOIN ct b USING (term) JOIN ln x ON x.label = a.label JOIN ln y ON y.label = b.label GROUP BY 1, 2", STOP_SQL, **CENT_SQL))
+def _(spark, d):
+    return rounded(sim.centroid_similarity(sim.centroids(weights(spark, d, ENGLISH_STOP_WORDS), labels(spark, d), "id")))
+
+
+@query("g22_representatives_without_stop_words", text_sql("SELECT * FROM (SELECT id, sc.label, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY sc.label ORDER BY round(s, 9) DESC, id) AS INTEGER) AS \"rank\" FROM sc JOIN tx x USING (id) WHERE sc.label = x.label) WHERE \"rank\" <= 10", STOP_SQL, **CENT_SQL))
+def _(spark, d):
+    _, scores = centroid_scores(spark, d, ENGLISH_STOP_WORDS)
+    return rounded(sim.representatives(scores, labels(spark, d), "id"))
+
+
+ERROR_SQL = {
+    **STOP_SQL,
+    "tx": TEXT_SQL + " WHERE doc_id IN (SELECT doc_id FROM ticket_predictions WHERE true_queue <> queue_from_predicted_type)",
+    "vc": "SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 10000",
+}
+
+
+@query(
+    "g23_error_keywords",
+    with_views("SELECT * FROM (SELECT label, term, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY label ORDER BY round(weight, 9) DESC, term) AS INTEGER) AS \"rank\" FROM ct) WHERE \"rank\" <= 30", "tickets", "ticket_predictions", **ERROR_SQL, **CENT_SQL),
+)
+def _(spark, d):
+    predicted = ds.ticket_predictions(spark, d).select(F.col("doc_id").alias("id"), "true_queue", "queue_from_predicted_type")
+    return rounded(sim.error_keywords(texts(spark, d).join(predicted, "id"), "id", "t", "true_queue", "queue_from_predicted_type"))
+
+
 @query("g24_target_pairs", text_sql("SELECT a.label AS label_a, b.label AS label_b, round(sum(a.weight * b.weight) / (any_value(x.l) * any_value(y.l)), 6) AS similarity FROM ct a JOIN ct b USING (term) JOIN ln x ON x.label = a.label JOIN ln y ON y.label = b.label WHERE a.label < b.label AND a.label IN ('Technical Support', 'IT Support', 'Product Support') AND b.label IN ('Technical Support', 'IT Support', 'Product Support') GROUP BY 1, 2", **CENT_SQL))
 def _(spark, d):
     s = sim.centroid_similarity(sim.centroids(weights(spark, d), labels(spark, d), "id"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,15 +109,68 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def load_table(df: DataFrame, name: str, mode: str = "overwrite") -> int:
-    """Replace a table and check that every row arrived."""
-    spark = df.sparkSession
-    expected = df.count()
-    df.write.mode(mode).saveAsTable(name)
-    stored = spark.table(name).count()
-    if mode == "overwrite" and stored != expected:
-        raise ValueError(f"{name}: wrote {expected} rows, found {stored}")
-    return stored
+class VersionedTable:
+    """A table that is replaced as a whole: every load is a new folder, and a pointer file names the one that readers see. The pointer moves only
+    after the load was checked, by one rename; until then, and after a failed check, readers have the old rows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _fs(self, name: str = ""):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at, at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def current(self) -> str | None:
+        """The folder of the version that readers see."""
+        at, files = self._fs("CURRENT")
+        return self.spark.read.text(str(at)).first()[0] if files.exists(at) else None
+
+    def rows(self) -> DataFrame:
+        version = self.current()
+        if version is None:
+            raise ValueError(f"{self.path}: nothing was loaded yet")
+        return self.spark.read.parquet(f"{self.path}/{version}")
+
+    def load(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None) -> int:
+        """Write a new version, compare the rows stored with the rows sent, run ``check`` on what is stored, then move the pointer. Returns the rows."""
+        version = f"v-{uuid.uuid4().hex}"
+        sent = Observation()
+        df.observe(sent, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/{version}")
+        stored = self.spark.read.schema(df.schema).parquet(f"{self.path}/{version}")
+        rows = stored.count()
+        try:
+            if rows != sent.get["rows"]:
+                raise ValueError(f"{self.path}: sent {sent.get['rows']} rows, found {rows}")
+            if check is not None:
+                check(stored)
+        except Exception:
+            at, files = self._fs(version)
+            files.delete(at, True)
+            raise
+        draft, files = self._fs(f"draft-{version}")
+        out = files.create(draft, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        modes = self.spark._sc._gateway.new_array(rename, 1)
+        modes[0] = rename.OVERWRITE
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
+        context.rename(draft, self._fs("CURRENT")[0], modes)
+        return rows
+
+    def vacuum(self) -> None:
+        """Delete the versions that are not current; run it when no reader holds an old one."""
+        at, files = self._fs()
+        current = self.current()
+        for status in files.listStatus(at):
+            name = status.getPath().getName()
+            if name.startswith(("v-", "draft-")) and name != current:
+                files.delete(status.getPath(), True)
+
+
+def load_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None) -> int:
+    """Replace the versioned table at ``path`` and check that every row arrived."""
+    return VersionedTable(df.sparkSession, path).load(df, check)
 
 
 HISTORY_SCHEMA = (
@@ -130,12 +186,46 @@ class History:
         self.spark, self.path = spark, path
 
     def append(self, df: DataFrame) -> None:
+        self._add(df.withColumn("batch", F.lit(None).cast("string")))
+
+    def _add(self, df: DataFrame) -> None:
         dated = df.withColumn("date", F.to_date("created_at"))
         # One file per date and task: rows of a date are spread over tasks by the row hash.
         dated.write.mode("append").partitionBy("date").parquet(self.path)
 
+    def append_once(self, df: DataFrame, stream: str, batch_id: int) -> bool:
+        """Append a batch of a stream unless it is there. The ledger beside the history names the finished batches; a batch that was appended but not yet
+        named (the writer was lost between the two) is found by the mark its rows carry. Returns whether rows were appended."""
+        mark = f"{stream}/{batch_id}"
+        if mark in self._finished(stream):
+            return False
+        there = self._exists(self.path) and not self._stored().filter(F.col("batch") == mark).isEmpty()
+        if not there:
+            self._add(df.withColumn("batch", F.lit(mark)))
+        self.spark.createDataFrame([(mark,)], "batch string").coalesce(1).write.mode("append").parquet(f"{self.path}_batches/stream={stream}")
+        return not there
+
+    def _finished(self, stream: str) -> set[str]:
+        """Names of a stream's finished batches: one short row for each."""
+        ledger = f"{self.path}_batches/stream={stream}"
+        return {r[0] for r in self.spark.read.schema("batch string").parquet(ledger).collect()} if self._exists(ledger) else set()
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(HISTORY_SCHEMA + ", batch string, date date").parquet(self.path)
+
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(HISTORY_SCHEMA + ", date date").parquet(self.path)
+        return self._stored().drop("batch")
+
+    def compact(self, date: str, files: int = 1) -> None:
+        """Rewrite a date's many small files as few; the rows are staged first, then replace that date alone."""
+        staged = scratch_path(self.spark, "compact")
+        self._stored().filter(F.col("date") == F.lit(date).cast("date")).coalesce(files).write.parquet(staged)
+        whole = self.spark.read.schema(HISTORY_SCHEMA + ", batch string, date date").parquet(staged)
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path)
 
     def recent(self, n: int = 20) -> DataFrame:
         return self.rows().orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
@@ -150,11 +240,11 @@ class History:
             ((F.current_timestamp() if today is None else today).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(keep_days))).alias("t")
         ).first()["t"]
         edge = F.lit(limit.date())
-        kept = self.rows().filter((F.col("date") == edge) & (F.col("created_at") >= F.lit(limit).cast("timestamp_ntz")))
+        kept = self._stored().filter((F.col("date") == edge) & (F.col("created_at") >= F.lit(limit).cast("timestamp_ntz")))
         # The kept rows of the edge date are staged, then replace that partition alone.
         staged = scratch_path(self.spark, "history")
         kept.write.parquet(staged)
-        stored = self.spark.read.schema(HISTORY_SCHEMA + ", date date").parquet(staged)
+        stored = self.spark.read.schema(HISTORY_SCHEMA + ", batch string, date date").parquet(staged)
         if not stored.isEmpty():
             stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path)
             edge = edge - F.expr("interval 1 day")
