@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -41,16 +41,20 @@ def bytes_of(array: pa.Array) -> list[bytes | None]:
 class Words:
     """The words of several texts as numbers into one vocabulary. Text i owns codes[bounds[i]:bounds[i + 1]]."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    def __init__(self, texts: list[bytes | None], lower: bool = False, sequences: bool = False):
         index: defaultdict[bytes, int] = defaultdict(count().__next__)
         codes, bounds = [np.empty(0, np.int64)], [0]
+        whole: list[int] = []
         for text in texts:
             words = (text.lower() if lower else text).split() if text else ()
+            if sequences:
+                whole.append(sequence_hash(words))
             codes.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
             bounds.append(bounds[-1] + len(words))
         self.codes = np.concatenate(codes)
         self.bounds = np.array(bounds, np.int64)
         self.vocabulary = list(index)
+        self.sequences = np.array(whole, np.uint64)
 
     @property
     def lengths(self) -> np.ndarray:
@@ -66,6 +70,11 @@ class Words:
         return hashed(self.vocabulary)[self.codes] if self.vocabulary else np.empty(0, np.uint64)
 
 
+def sequence_hash(words: Sequence[bytes]) -> int:
+    """64-bit hash of a whole word sequence."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words))
+
+
 def hashed(values: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.common import Words, bytes_of, pieces, runs, signed, sized, starts_in
+from faultline.llm.common import Words, bytes_of, pieces, runs, sequence_hash, signed, sized, starts_in
 from faultline.session import discard, materialize, ship_package
 
 WINDOW = 50
@@ -42,10 +42,9 @@ def _sequences(docs: DataFrame, text: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            words = Words(bytes_of(batch.column(text)))
-            h = words.hashes()
-            whole = [int(signed(runs(h[a:b], b - a) + np.uint64(b - a))[0]) if b > a else 0 for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(words.lengths), "seq": pa.array(whole, pa.int64())})
+            words = [t.split() if t else [] for t in bytes_of(batch.column(text))]
+            seqs = signed(np.fromiter(map(sequence_hash, words), np.uint64, len(words)))
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()), "seq": pa.array(seqs)})
 
     return docs.mapInArrow(read, "doc_id long, n_words long, seq long")
 
@@ -56,16 +55,15 @@ def _anchors(docs: DataFrame, text: str, window: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            words = Words(bytes_of(batch.column(text)))
-            h = words.hashes()
-            anchor = runs(h, width)
+            words = Words(bytes_of(batch.column(text)), sequences=True)
+            anchor = runs(words.hashes(), width)
             keys, seqs, positions = [], [], []
-            for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
+            for a, b, seq in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), words.sequences):
                 if b - a >= window:
                     p = cover_positions(b - a - width + 1)
                     keys.append(anchor[a + p])
                     positions.append(p)
-                    seqs.append(np.repeat(runs(h[a:b], b - a) + np.uint64(b - a), len(p)))
+                    seqs.append(np.repeat(seq, len(p)))
             if keys:
                 yield pa.record_batch({"anchor": pa.array(signed(np.concatenate(keys))), "seq": pa.array(signed(np.concatenate(seqs))), "pos": pa.array(np.concatenate(positions).astype(np.int32))})
 
@@ -99,25 +97,34 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text)
     long = materialize(_sequences(docs, text).where(F.col("n_words") >= window))
     first = materialize(long.groupBy("seq").agg(F.min("doc_id").alias("first")))
-    copies = long.join(sized(first), "seq").where("doc_id > first").select("doc_id", F.sequence(F.lit(0), (F.col("n_words") - window).cast("int")).alias("starts"))
+    run = F.array(F.struct(F.lit(0).alias("b"), F.col("n_words").cast("int").alias("e")))
+    copies = long.join(sized(first), "seq").where("doc_id > first").select("doc_id", run.alias("covered"))
     # An anchor counts when two different texts have it, so copies of one text never meet here.
     anchors = _anchors(docs, text, window)
     shared = anchors.groupBy("anchor").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).where("low < high").select("anchor")
     places = anchors.join(shared, "anchor").groupBy("seq").agg(F.collect_set("pos").alias("anchors"))
     wanted = materialize(places.join(first, "seq").select(F.col("first").alias("doc_id"), "anchors"))
-    anchors_in_all = wanted.agg(F.sum(F.size("anchors") + 1)).first()[0] or 0
-    candidates = materialize(docs.join(sized(wanted, anchors_in_all), "doc_id"))
+    # Texts meet their anchors by a shuffle at every size; only texts with a shared anchor are kept.
+    candidates = materialize(docs.join(wanted, "doc_id"))
     windows = _windows(candidates, text, window)
     least = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    found = windows.join(least, "key").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    # An id may have several rows, of which one is a copy: one list for each id.
-    starts = F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts"))))
-    listed = materialize(found.unionByName(copies).groupBy("doc_id").agg(starts.alias("starts")))
-    s, last = F.col("starts"), F.size("starts") - 1
+    found = windows.join(least, "key").where("doc_id > least").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("s"))
+    s, last = F.col("s"), F.size("s") - 1
     begins = F.filter(s, lambda x, i: F.when(i == 0, True).otherwise(x - s[i - 1] > window))
     ends = F.transform(F.filter(s, lambda x, i: F.when(i == last, True).otherwise(s[i + 1] - x > window)), lambda x: x + window)
-    result = materialize(listed.select("doc_id", begins.alias("begins"), ends.alias("ends")))
-    discard(wanted, candidates, long, first, listed)
+    found = found.select("doc_id", F.arrays_zip(begins.alias("b"), ends.alias("e")).alias("covered"))
+    # An id may have several rows, of which one is a copy: the runs of an id are joined where they touch or overlap.
+    each = found.unionByName(copies).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("covered"))).alias("covered"), F.count(F.lit(1)).alias("lists"))
+    none = F.array().cast("array<struct<b:int,e:int>>")
+
+    def joined(done, x):
+        ahead = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(ahead["b"].alias("b"), F.greatest(ahead["e"], x["e"]).alias("e"))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["e"] >= x["b"]), grown).otherwise(F.concat(done, F.array(x)))
+
+    one = F.when(F.col("lists") > 1, F.aggregate("covered", none, joined)).otherwise(F.col("covered"))
+    result = materialize(each.select("doc_id", one.alias("covered")).select("doc_id", F.col("covered.b").alias("begins"), F.col("covered.e").alias("ends")))
+    discard(wanted, candidates, long, first)
     return result
 
 
@@ -126,8 +133,7 @@ def cut(docs: DataFrame, repeated: DataFrame, text: str = "text", layout: bool =
     their text as it is. Adds n_words and n_removed."""
     carried = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     plan = repeated.select(F.col("doc_id").alias("_id"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends"))
-    runs_in_all = repeated.agg(F.sum(F.size("begins") + 1)).first()[0] or 0
-    joined = docs.select(*carried).join(sized(plan, runs_in_all), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    joined = docs.select(*carried).join(plan, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
     schema = T.StructType([*(docs.schema[c] for c in carried), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
