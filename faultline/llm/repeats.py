@@ -105,7 +105,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     places = anchors.join(shared, "anchor").groupBy("seq").agg(F.collect_set("pos").alias("anchors"))
     wanted = materialize(places.join(first, "seq").select(F.col("first").alias("doc_id"), "anchors"))
     # Texts meet their anchors by a shuffle at every size; only texts with a shared anchor are kept.
-    candidates = materialize(docs.join(wanted, "doc_id"))
+    candidates = materialize(docs.join(wanted.hint("shuffle_merge"), "doc_id"))
     windows = _windows(candidates, text, window)
     least = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     found = windows.join(least, "key").where("doc_id > least").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("s"))
@@ -133,7 +133,8 @@ def cut(docs: DataFrame, repeated: DataFrame, text: str = "text", layout: bool =
     their text as it is. Adds n_words and n_removed."""
     carried = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     plan = repeated.select(F.col("doc_id").alias("_id"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends"))
-    joined = docs.select(*carried).join(plan, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    # Like the texts of the search: a shuffle at every size, as the runs grow with the input.
+    joined = docs.select(*carried).join(plan.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
     schema = T.StructType([*(docs.schema[c] for c in carried), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
