@@ -22,13 +22,16 @@ HEADLINE = [
     "e11_sessionize_global",
     "d14_f06_log_incidents",
     "d16_f08_multisource_incidents",
+    "c06_mark_in_interval",
     "c07_next_event",
     "c10_d23_fault_windows",
     "c14_matched_controls",
     "c15_daily_controls",
+    "c16_offset_coverage",
     "e25_horizon_labels",
     "m05_auc",
     "m07_m08_threshold_sweep",
+    "m11_m15_prefault_summary",
     "m12_rank_signals",
     "b09_clean_text",
     "d01_ticket_analytics",
@@ -36,7 +39,10 @@ HEADLINE = [
     "g01_tfidf",
     "c20_topk_similar",
     "g21_label_consistency",
+    "g12_log_semantic",
+    "g15_incident_parts",
     "t02_event_window_stream",
+    "t03_incident_stream",
 ]
 
 

@@ -144,6 +144,7 @@ def ticket_risk_score(ticket_type: Column, priority: Column, queue: Column) -> C
 
 def recommendation(queue: Column, priority: Column) -> Column:
     """Advice sentence; empty or missing parts drop out of it."""
+    # The sentences.
     has_queue, has_priority = F.coalesce(queue, F.lit("")) != "", F.coalesce(priority, F.lit("")) != ""
     return (
         F.when(

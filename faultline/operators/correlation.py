@@ -83,6 +83,7 @@ def correlate(logs: DataFrame, metrics: DataFrame, on: list[str], full_outer: bo
             "multi_source_score": 50 * clip(F.col("log_anomaly_score"), 0, 1)
             + 30 * clip(F.col("metric_anomaly"), 0, 1)
             + 20 * clip(F.col("metric_max_anomaly_score"), 0, 1),
+            # Names of the signals.
             "signal_type": F.when(log & metric, "MULTI_SOURCE").when(log, "LOG_ONLY").when(metric, "METRIC_ONLY").otherwise("NORMAL"),
             "incident_signal": (log | metric).cast("int"),
         }
@@ -139,6 +140,7 @@ def multisource_incidents(correlated: DataFrame, keys: list[str], gap_minutes: f
     multi, busy = F.col("multi_source_windows") > 0, F.col("max_log_error_rate") >= 0.50
     df = df.withColumns(
         {
+            # Type and reason names with their limits.
             "incident_type": F.when(multi & (F.col("max_metric_series") >= 2) & busy, "MULTI_SOURCE_MULTI_SERVICE")
             .when(multi, "LOG_METRIC_CORRELATED")
             .when(F.col("log_only_windows") > 0, "LOG_ONLY")

@@ -51,7 +51,7 @@ def grow(points: np.ndarray, rng: np.random.Generator) -> tuple[list, list, list
 
 
 class IsolationForest:
-    """``fit`` draws 256 rows per tree by id hash (one bounded top-n, no pass per tree) and
+    """``fit`` draws up to 256 rows for each tree on its own, by a hash of the tree and the id, and
     keeps the threshold that flags the ``contamination`` share of the training rows."""
 
     def __init__(self, features: list[str], id_col: str, trees: int = 200, contamination: float = 0.15, seed: int = 42):

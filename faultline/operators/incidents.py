@@ -115,6 +115,7 @@ def incident_summary(episodes: DataFrame, keys: list[str], window_minutes: float
 def incident_class(df: DataFrame, q90: dict[str, Column]) -> DataFrame:
     """Severity, type and reason of summarized incidents."""
     score, severe, anomalous = F.col("max_anomaly_score"), F.col("max_severe_signal_count"), F.col("anomalous_windows")
+    # Severity, type and reason names with their limits.
     severity = (
         F.when((score >= 0.10) | (severe >= 4), "CRITICAL")
         .when((score >= 0.02) | (severe >= 3), "HIGH")

@@ -173,6 +173,7 @@ def risk_score_v31(df: DataFrame, keys: list[str]) -> DataFrame:
     total = F.col("base_risk_score") * F.col("volume_adjustment") + F.col("persistence_bonus") + F.col("multi_signal_bonus") + F.col("strong_single_signal_bonus")
     # The small term makes exact halves round up whatever the order of the sum was.
     df = df.withColumn("risk_score", F.round(clip(total, 0, 100) + 1e-9, 2))
+    # Reason texts with their limits.
     why = reasons(
         [
             (s["anomaly"] >= 0.65, "STRONG_AIOPS_ANOMALY"),

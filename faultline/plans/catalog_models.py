@@ -169,6 +169,15 @@ def _(spark, d):
     return inc.describe_anomalies(scored).select("service", "window_start", "anomaly_score", "is_anomaly", "anomaly_level", "anomaly_reason", "anomaly_rank")
 
 
+@query("g13_forest_flags", with_views("SELECT count(*) AS rows, true AS share_fits, true AS flags_fit FROM (SELECT DISTINCT service, time_bucket(INTERVAL '60 minutes', \"timestamp\") FROM ops_events)", "ops_events"))
+def _(spark, d):
+    """At most the asked share is flagged, nearly all of it (equal scores at the limit stay unflagged), and exactly the scores above 0."""
+    w = materialize(event_windows(ds.ops_events(spark, d), ["service"], "60 minutes").withColumn("window_id", F.xxhash64("service", "window_start")))
+    scored = IsolationForest(WINDOW_FEATURES, "window_id", trees=200, contamination=0.15).fit(w).transform(w)
+    flagged, rows = F.count_if("is_anomaly"), F.count(F.lit(1))
+    return scored.agg(rows.alias("rows"), (flagged / rows).between(0.10, 0.15).alias("share_fits"), F.every(F.col("is_anomaly") == (F.col("anomaly_score") > 0)).alias("flags_fit"))
+
+
 @query("g13_log_window_forest")
 def _(spark, d):
     w = materialize(anomalous_log_windows(spark, d).withColumn("window_id", F.xxhash64("service", "block_id", "window_start")))
