@@ -129,9 +129,23 @@ def _long_text(data: np.ndarray) -> Counted:
     return list(totals), one, np.fromiter(totals.values(), np.int64, len(totals)), one.astype(np.int64) + 1
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with every text above TEXT_BYTES in one of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        for i in np.flatnonzero(sizes > TEXT_BYTES).tolist():
+            if i > at:
+                yield batch.slice(at, i - at)
+            yield batch.slice(i, 1)
+            at = i + 1
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["lang", "source", "term", "n", "docs"]
-    for batch in pieces(batches, "text", TEXT_BYTES):
+    for batch in pieces(_apart(batches), "text", TEXT_BYTES):
         both = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], ["lang", "source"])
         labels: dict[tuple, int] = {}
         groups = np.array([labels.setdefault((r["lang"], r["source"]), len(labels)) for r in both.to_pylist()], np.int64)

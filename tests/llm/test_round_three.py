@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -211,6 +212,19 @@ def test_long_text_in_parts(monkeypatch):
     assert {t.decode(): k for t, k in zip(terms, n)} == Counter(plain_terms(text)) and set(having) == {1}
 
 
+def test_long_texts_stand_alone(monkeypatch):
+    monkeypatch.setattr(divergence, "TEXT_BYTES", 50)
+    texts = ["a b", "c" * 80 + " d", None, "e f g", "h " * 60, "i", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (texts, ["en"] * 7, ["s", "s", "s", "t", "t", "s", "s"])], names=["text", "lang", "source"])
+    parts = [b.column("text").to_pylist() for b in divergence._apart(iter([batch]))]
+    assert parts == [["a b"], [texts[1]], [None, "e f g"], [texts[4]], ["i", ""]]
+    got = Counter()
+    for b in divergence._counted(iter([batch])):
+        for r in b.to_pylist():
+            got[r["source"], r["term"]] += r["n"]
+    assert got == Counter((s, t) for text, s in zip(texts, ["s", "s", "s", "t", "t", "s", "s"]) for t in plain_terms(text))
+
+
 def test_audit_on_odd_rows(spark, odd, empty, monkeypatch):
     rows = [(i, t, lang, s, 1) for i, (lang, s, t) in enumerate([("en", f"s{k % 5}", f"the cat{k % 3} sat Ärger {'long' * (k % 9)}") for k in range(90)] + [("xx", "a", "one"), ("xx", None, None), (None, "b", "the"), ("en", "none", None)])]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").unionByName(odd, allowMissingColumns=True)
