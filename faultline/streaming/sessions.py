@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -66,6 +68,8 @@ class Sessions(StatefulProcessor):
 
 def session_rows(stream: DataFrame, keys: list[str], gap_minutes: int, delay: str, ts: str) -> DataFrame:
     """A row for every session that a batch opened, changed or closed."""
+    # The process that prepares the state has none of the shipped packages: this module goes with the processor.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(*keys, ts, F.unix_micros(ts).alias("micros"))
     shape = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys) + ", " + OUTPUT
     return timed.groupBy(*keys).transformWithStateInPandas(Sessions(keys, gap_minutes * 60_000_000), shape, "update", "eventTime")
