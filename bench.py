@@ -40,7 +40,6 @@ HEADLINE = [
     "c20_topk_similar",
     "g21_label_consistency",
     "g12_log_semantic",
-    "g15_incident_parts",
     "t02_event_window_stream",
     "t03_incident_stream",
 ]
