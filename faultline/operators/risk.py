@@ -238,7 +238,7 @@ def incident_warnings(windows: DataFrame, incidents: DataFrame, keys: list[str],
 
 
 def evaluate_warnings(evaluation: DataFrame, windows: DataFrame, version: str) -> DataFrame:
-    """One row per version: coverage, coverage by lead time, warning precision, lead times."""
+    """One row per version: coverage, coverage by lead time, warning precision, lead times. Without incidents the coverage is undefined (NaN)."""
     lead = F.col("lead_time_minutes")
     per_incident = quantiles_by(
         evaluation,
@@ -252,7 +252,7 @@ def evaluate_warnings(evaluation: DataFrame, windows: DataFrame, version: str) -
         ],
     )
     alarms = one_row(windows.agg(F.count_if("early_warning").alias("early"), F.count_if("false_positive_warning").alias("false")))
-    share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("incidents")), F.lit(0.0))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("incidents")), F.lit(float("nan")))
     return per_incident.select(
         F.lit(version).alias("version"),
         "incidents",

@@ -9,6 +9,7 @@ from faultline.functions.text import clean_text
 from faultline.functions.timefn import calendar, circular_minutes
 from faultline.operators import evaluation as evl
 from faultline.operators import incidents as inc
+from faultline.operators import risk
 from faultline.operators import temporal_joins as tj
 from faultline.operators import timeseries as tsr
 from faultline.operators import tickets as tk
@@ -183,3 +184,11 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1000]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             session._shared_folder(of(master, None))
+
+
+def test_coverage_without_incidents_is_undefined(spark):
+    evaluation = spark.createDataFrame([], "preceded_by_warning boolean, lead_time_minutes double")
+    windows = spark.createDataFrame([(False, False)], "early_warning boolean, false_positive_warning boolean")
+    row = risk.evaluate_warnings(evaluation, windows, "v").toPandas().iloc[0]
+    shares = [row[c] for c in ("incident_coverage", "coverage_5m_pct", "coverage_10m_pct", "coverage_15m_pct")]
+    assert row["incidents"] == 0 and all(s != s for s in shares) and row["warning_precision"] == 0.0
