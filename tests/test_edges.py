@@ -16,6 +16,7 @@ from faultline.operators import tickets as tk
 from faultline.operators.quality import duplicate_conflicts
 from faultline.operators.quantiles import quantiles_by
 from faultline.operators.skew import Timeline, range_numbered
+from faultline.plans.catalog_models import parts
 
 T0 = datetime(2024, 1, 1)
 
@@ -192,3 +193,14 @@ def test_coverage_without_incidents_is_undefined(spark):
     row = risk.evaluate_warnings(evaluation, windows, "v").toPandas().iloc[0]
     shares = [row[c] for c in ("incident_coverage", "coverage_5m_pct", "coverage_10m_pct", "coverage_15m_pct")]
     assert row["incidents"] == 0 and all(s != s for s in shares) and row["warning_precision"] == 0.0
+
+
+@pytest.mark.parametrize("labels,fits", [([1, 1], True), ([0, 0], True), ([1, 0], True), ([0, 1], False), ([1, 0, 0], False)])
+def test_parts_of_one_class_have_nothing_to_tell_apart(spark, labels, fits):
+    scored = spark.createDataFrame([("train", y, r) for y, r in zip(labels, (0.9, 0.1, 1.0))], "split string, y int, risk double")
+    assert [tuple(r) for r in parts(scored, "y").collect()] == [("train", len(labels), sum(labels), fits)]
+
+
+def test_equal_risks_of_two_classes_do_not_fit(spark):
+    scored = spark.createDataFrame([("train", y, 0.5) for y in (0, 1)], "split string, y int, risk double")
+    assert not parts(scored, "y").first()["fits"]
