@@ -231,7 +231,7 @@ def fit_boosted(df: DataFrame, features: str, label: str, weight: Column, ids: l
     discard(rows)
     features = columns_of_trees(width, s)
     if parts == 1:
-        trees = pickle.loads(packed.mapInArrow(_in_one_task(width, features, s), "trees binary").first()["trees"])
+        trees = pickle.loads(packed.coalesce(1).mapInArrow(_in_one_task(width, features, s), "trees binary").first()["trees"])  # one file may be read in several splits
     else:
         trees = _over_parts(packed, shape, width, features, s)
     discard(packed)

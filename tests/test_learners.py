@@ -172,3 +172,26 @@ def test_effect_ignores_what_is_not_finite(spark):
     odd = [(1, math.inf), (0, -math.inf), (1, math.nan), (0, math.nan), (0, None)]
     plain, more = (robust_effect(spark.createDataFrame(r, "y int, v double"), [], "y", "v").first().asDict() for r in (rows, rows + odd))
     assert plain == more and plain["n_cases"] == 12 and abs(plain["effect"] - 10 / 5.5) < 1e-12
+
+
+@pytest.fixture
+def split_files(spark):
+    """Files are read in splits of 2,000 bytes, as large files are in splits of a few MB."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    yield spark
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_one_part_in_several_splits_is_fitted_whole(split_files):
+    rng = np.random.default_rng(4)
+    df = materialize(split_files.createDataFrame([([j], [1 + rng.random()], "ab"[j % 2]) for j in map(int, rng.integers(0, 6, 4000))], "_idx array<int>, _val array<double>, y string").coalesce(1))
+    for kind in ("svc", "logistic"):
+        model = li.fit_linear(df, "y", F.lit(1.0), 6, kind, 1.0)
+        assert model.passes > 1 and model.transform(df, "p").where("y <> p").count() == 0
+
+
+def test_trees_of_one_part_in_several_splits(split_files):
+    df, *_ = planted(split_files, 600)
+    few = bo.Settings(**{**SMALL.__dict__, "trees": 3})
+    model = bo.fit_boosted(df, "x", "y", F.lit(1.0), ["id"], 8, few)
+    assert len(model.trees) == 3 and all((t.gain > 0).any() for t in model.trees)
