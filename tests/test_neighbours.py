@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from faultline.operators import similarity as sim
 from faultline.operators.iforest import IsolationForest
+from faultline.operators.search import nearest
+from faultline.operators.term_buckets import similar_documents
 
 
 def vectors(n=150, dim=12, copies=50, seed=3):
@@ -51,6 +53,27 @@ def test_topk_similar_both_ways(sample):
     assert small == large == brute(scores, 3)
 
 
+@pytest.mark.parametrize("every", [1, 7])
+def test_nearest_in_several_chunks_with_copies(sample, every):
+    vecs, scores = sample
+    asked = vecs.where(F.col("id") % every == 0)
+    got = [(r["id"], r["neighbour"], r["rank"]) for r in nearest(asked, vecs.repartition(5), 4, at_once=40).collect()]
+    assert {g[:2] for g in got} == {(i, j) for i, j in brute(scores, 4) if i % every == 0}
+    assert all(sorted(r for i, _, r in got if i == q) == [1, 2, 3, 4] for q in range(0, len(scores), every))
+
+
+def test_similar_documents_with_copies_blanks_and_nulls(spark):
+    rng = np.random.default_rng(5)
+    words = [" ".join(f"w{int(w)}" for w in np.minimum(rng.pareto(0.7, 30) * 3, 60)) for _ in range(60)]
+    rows = [(i, "x", words[0] if i % 4 == 0 else words[i]) for i in range(60)] + [(60, "x", None), (70, "x", ""), (80, "x", "alone")]
+    texts = spark.createDataFrame(rows, "id long, label string, t string")
+    weights = sim.tfidf(texts, "id", sim.tokens(F.col("t")))
+    want = sim.knn_documents(sim.vectors(weights, "id"), 5).where("id % 10 = 0")
+    key = lambda df: sorted((r["id"], r["neighbour"], r["rank"], round(r["similarity"], 8)) for r in df.collect())
+    assert key(similar_documents(texts, 5, 10)) == key(want)
+    assert not similar_documents(texts.where("id >= 60"), 5, 10).collect()
+
+
 @pytest.mark.parametrize("posting", [3, 64])
 @pytest.mark.parametrize("limit", [40, 5000])
 def test_near_duplicates(sample, limit, posting):
