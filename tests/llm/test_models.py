@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -214,3 +215,15 @@ def test_mix_odd_and_empty(odd, empty):
     assert mix_sources(empty).count() == 0
     blank = odd.where("doc_id IN (1, 2, 3)")
     assert [(r["epoch"], r["slot"]) for r in mix_sources(blank).collect()] == [(0, 0.0)] * 3
+
+
+def test_runs_are_made_in_slices_of_bounded_bytes():
+    texts = [b"one two " * 2500, None, b"", *[b"abc def ghi " * 1600] * 600]
+    whole = context_tree.byte_runs(texts[:40])
+    parts = list(context_tree.some_runs(texts[:40], 50_000))
+    assert len(parts) > 10 and (np.concatenate([r for _, r, _ in parts]) == whole[0]).all() and (np.concatenate([o + at for at, _, o in parts]) == whole[1]).all()
+    tracemalloc.start()
+    total = sum(len(r) for _, r, _ in context_tree.some_runs(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 11_000_000 and peak < 200_000_000
