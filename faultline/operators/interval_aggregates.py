@@ -1,8 +1,10 @@
 """What intervals see of a time line, without a row for every pair of a point and an interval.
 
-* ``rank_range``: points are numbered along time, and the ends of an interval are looked up among those numbers; what lies inside is a range of numbers.
-* ``interval_statistics``: ranges are covered by at most 6 blocks a level of sizes 1, 4, 16 ..., whose sums are added; order statistics
-  come by a search by digits of the value's rank. Short ranges, of a bounded number of points, are read as they are.
+* Windows of time, each dealt to a task with the window after it, hold an interval as a whole: its ends are looked up among the window's points, and all its
+  statistics come from an index over them (``range_index.py``). A point moves twice, an interval once.
+* What windows cannot hold (an interval longer than one, a window with very many points, an id with several intervals) takes the way of numbers:
+  ``rank_range`` numbers points along time and looks the ends up among those numbers; ``interval_statistics`` covers ranges by at most 6 blocks a level of
+  sizes 1, 4, 16 ..., whose sums are added, and finds order statistics by digits of the value's rank. Short ranges are read as they are.
 * ``winners``: overlapping intervals become disjoint segments, each with the interval that counts in it.
 * ``multiplicity``: in how many intervals of a kind each point lies.
 """
@@ -11,20 +13,148 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.timefn import micros
 from faultline.operators.quantiles import quantiles_by
+from faultline.operators.range_index import RangeIndex
 from faultline.operators.skew import SLICE, Timeline, join_on
-from faultline.session import materialize, ship_package
+from faultline.session import materialize, max_group_rows, ship_package
 
 AT, KIND, TIE, POINT, ASK = "_at", "_kind", "_tie", "_point", "_ask"
 BASE = 4
 #: Ranges with at most so many points are read point by point.
 SHORT = 256
 DIGIT = 4
+#: A window of time holds at most this part of the rows that a group may have.
+WINDOW_PART = 16
+FROM, TO, WINDOW, NEAR = "_from_us", "_to_us", "_window", "_near"
+
+
+def _window_of(column: str, width: int) -> Column:
+    return F.expr(f"(`{column}` - pmod(`{column}`, {width}L)) div {width}L")
+
+
+def _windows(points: DataFrame, intervals: DataFrame, keys: list[str]) -> tuple[int, DataFrame]:
+    """The width of the windows in micros, and ``intervals`` with ``_near``: whether two windows with few points hold the interval."""
+    limit = max(1, max_group_rows(points.sparkSession) // WINDOW_PART)
+    longest = intervals.agg(F.max(F.col(TO) - F.col(FROM))).first()[0] or 0
+    width = max(int(longest) + 1, 1_000_000)
+    cells = lambda: points.groupBy(*keys, _window_of(AT, width).alias(WINDOW)).agg(F.count(F.lit(1)).alias("_points"))
+    most = cells().agg(F.max("_points")).first()[0] or 1
+    if most > limit:
+        width = max(1, width // -(-most // limit))
+    else:  # wider windows make fewer groups of at most an eighth of the limit
+        width *= max(1, limit // 8 // most)
+    starts = intervals.withColumn(WINDOW, _window_of(FROM, width))
+    near = _window_of(TO, width) <= F.col(WINDOW) + 1
+    crowded = cells().filter(F.col("_points") > limit).select(*keys, F.explode(F.array(F.col(WINDOW), F.col(WINDOW) - 1)).alias(WINDOW)).distinct() if most > limit else None
+    if crowded is not None:
+        starts = join_on(starts, crowded.withColumn("_crowded", F.lit(True)), [*keys, WINDOW], "left")
+        near = near & F.col("_crowded").isNull()
+    return width, starts.withColumn(NEAR, near).drop("_crowded")
+
+
+def _in_windows(points: DataFrame, intervals: DataFrame, keys: list[str], width: int, compute, schema: T.StructType) -> DataFrame:
+    """``compute(points, intervals)`` for each window with its points and those of the next one, and the intervals that start in it."""
+    own = _window_of(AT, width)
+    dealt = points.withColumn(WINDOW, F.explode(F.array(own, own - 1)))
+    by = [*keys, WINDOW]
+    return intervals.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda left, right: compute(right, left), schema)
+
+
+def _ends(intervals: pa.Table, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.searchsorted(times, intervals.column(FROM).to_numpy(), side="left")
+    return first, np.maximum(first, np.searchsorted(times, intervals.column(TO).to_numpy(), side="right"))
+
+
+def _counted(columns: list[str]):
+    def compute(points: pa.Table, intervals: pa.Table) -> pa.Table:
+        intervals = intervals.group_by([*columns, FROM, TO]).aggregate([])
+        first, after = _ends(intervals, np.sort(points.column(AT).to_numpy()))
+        return intervals.select(columns).append_column("points", pa.array(after - first, pa.int64()))
+
+    return compute
+
+
+def _plain_statistics(values: np.ndarray, first: np.ndarray, after: np.ndarray, spread: bool) -> tuple:
+    """The statistics of ranges that hold NaN or infinite values, one by one; NaN is the greatest value, as in Spark."""
+    out = []
+    with np.errstate(all="ignore"):
+        for a, b in zip(first, after):
+            v = np.sort(values[a:b])
+            middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+            m = middle(v) if len(v) else np.nan
+            out.append((v.mean() if len(v) else 0, v.var() * len(v) if len(v) else 0, v[0] if len(v) else 0, v[-1] if len(v) else 0, m, middle(np.sort(np.abs(v - m))) if spread and len(v) else 0))
+    return tuple(np.array(c) for c in zip(*out))
+
+
+def _window_statistics(by: list[str], tie: str, columns: list[str], spread: bool, schema: T.StructType):
+    """All statistics of the intervals of a window in each line of it; ``by`` tells the lines of a key apart."""
+    names = schema.fieldNames()
+
+    def of_line(points: pa.Table, intervals: pa.Table) -> tuple[np.ndarray, dict]:
+        first, after = _ends(intervals, points.column(AT).to_numpy())
+        asked = np.flatnonzero(after > first)
+        first, after = first[asked], after[asked]
+        inside = lambda known: (known[first], known[after])
+        seen = points.column("value").is_valid().to_numpy()
+        low, high = inside(np.concatenate([[0], np.cumsum(seen)]))
+        values = points.column("value").drop_null().to_numpy()
+        n = high - low
+        some = n > 0
+        found = {c: np.zeros(len(n)) for c in ("mean", "_apart", "min", "max", "median", "mad")}
+        if some.any():
+            a, b = low[some], high[some]
+            if np.isfinite(values).all():
+                index = RangeIndex(values)
+                _, mean, apart, least, most = index.moments(a, b)
+                middle = index.median(a, b)
+                parts = mean, apart, least, most, middle, index.mad(a, b, middle) if spread else 0
+            else:
+                parts = _plain_statistics(values, a, b, spread)
+            for c, x in zip(found, parts):
+                found[c][some] = x
+        known = points.column("z").is_valid().to_numpy()
+        z = np.abs(points.column("z").drop_null().to_numpy())
+        z_low, z_high = inside(np.concatenate([[0], np.cumsum(known)]))
+        strong = np.zeros(len(known), np.int64)
+        strong[known] = ~(z <= 3)  # NaN is greater
+        s_low, s_high = inside(np.concatenate([[0], np.cumsum(strong)]))
+        top = RangeIndex.greatest(z, z_low, z_high)
+        column = lambda x, good: pa.array(x, pa.float64(), mask=~good)
+        with np.errstate(all="ignore"):
+            std = np.sqrt(found["_apart"] / (n - 1))
+        return asked, {
+            "n": pa.array(n, pa.int64()), "mean": column(found["mean"], some), "median": column(found["median"], some), "std": column(std, n > 1),
+            "min": column(found["min"], some), "max": column(found["max"], some), "last": points.column("value").take(pa.array(after - 1)).combine_chunks(),
+            "anomaly_count": pa.array(s_high - s_low, pa.int64()), "anomaly_rate": pa.array((s_high - s_low) / (after - first)), "max_abs_z": column(top, z_high > z_low), "mad": column(found["mad"], some),
+        }
+
+    def compute(points: pa.Table, intervals: pa.Table) -> pa.Table:
+        kinds = pa.schema([(f.name, intervals.schema.field(f.name).type if f.name in columns else points.schema.field(f.name).type if f.name in by else pa.int64() if f.dataType == T.LongType() else pa.float64()) for f in schema.fields])
+        if not (points.num_rows and intervals.num_rows):
+            return kinds.empty_table()
+        points = points.sort_by([(AT, "ascending"), (tie, "ascending")])
+        lines = points.group_by(by).aggregate([]).to_pylist() if by else [{}]
+        out = []
+        for line in lines:
+            mask = None
+            for c, v in line.items():
+                same = pc.is_null(points.column(c)) if v is None else pc.fill_null(pc.equal(points.column(c), v), False)
+                mask = same if mask is None else pc.and_(mask, same)
+            asked, found = of_line(points if mask is None else points.filter(mask), intervals)
+            found |= {c: intervals.column(c).take(pa.array(asked)) for c in columns} | {c: pa.repeat(pa.scalar(v, points.schema.field(c).type), len(asked)) for c, v in line.items()}
+            out.append(pa.table([found[c] for c in names], schema=kinds))
+        return pa.concat_tables(out)
+
+    return compute
 
 
 def _numbered_line(points: DataFrame, intervals: DataFrame, series: list[str], ts: str, tie: str, start: Column, end: Column, columns: list[str]) -> DataFrame:
@@ -47,6 +177,19 @@ def _ranges(line: DataFrame, series: list[str]) -> DataFrame:
 
 def rank_range(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, tie: str, start: str, end: str) -> DataFrame:
     """``intervals`` (distinct rows) with ``points``, the number of points of their key inside, ends included: two look-ups for each interval."""
+    ship_package(points.sparkSession)
+    columns = intervals.columns
+    timed = intervals.withColumns({FROM: micros(F.col(start)), TO: micros(F.col(end))})
+    seen = points.select(*keys, micros(F.col(ts)).alias(AT)).filter(F.col(AT).isNotNull())
+    width, dealt = _windows(seen, timed, keys)
+    far = dealt.filter(~F.coalesce(F.col(NEAR) & (F.col(TO) >= F.col(FROM)), F.lit(False))).select(*columns)
+    near = dealt.filter(F.col(NEAR) & (F.col(TO) >= F.col(FROM))).drop(NEAR)
+    schema = T.StructType([*intervals.schema.fields, T.StructField("points", T.LongType())])
+    out = _in_windows(seen, near, keys, width, _counted(columns), schema)
+    return out if far.isEmpty() else out.unionByName(_numbered_range(points, far, keys, ts, tie, start, end))
+
+
+def _numbered_range(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, tie: str, start: str, end: str) -> DataFrame:
     line = _numbered_line(points.select(*dict.fromkeys([*keys, ts, tie])), intervals, keys, ts, tie, F.col(start), F.col(end), intervals.columns)
     return _ranges(line, keys).select(f"{ASK}.*", (F.col("after") - F.col("first")).alias("points"))
 
@@ -168,12 +311,34 @@ def interval_statistics(points: DataFrame, intervals: DataFrame, keys: list[str]
     """Statistics of ``value`` and ``z`` for each interval (``ids``) and each series of its key that has a point in it, ends included: n, mean, median, std, min,
     max, last, anomaly_count and anomaly_rate (|z| > 3), max_abs_z, and with ``spread`` the MAD.
 
-    A range of at most ``short`` points is read point by point. A longer one is covered by blocks, and its median searched by digits; its MAD is taken
-    over its points, as the distances of each range have an order of their own."""
+    Windows of time hold almost all intervals. Of the rest, a range of at most ``short`` points is read point by point. A longer one is covered by blocks, and
+    its median searched by digits; its MAD is taken over its points, as the distances of each range have an order of their own."""
+    ship_package(points.sparkSession)
     points = points.select(*dict.fromkeys([*series, ts, tie, "value", "z"]))
     asked = [c for c in ids if c not in series]
     group = [*series, *asked]
     intervals = intervals.select(*dict.fromkeys([*keys, *asked]), F.col(start).alias("_start"), F.col(end).alias("_end"))
+    timed = intervals.withColumns({FROM: micros(F.col("_start")), TO: micros(F.col("_end"))}).filter(F.col(TO) >= F.col(FROM))
+    several = (F.min(FROM) < F.max(FROM)) | (F.min(TO) < F.max(TO))
+    named = timed.groupBy(*keys, *asked).agg(F.min(FROM).alias(FROM), F.max(TO).alias(TO), several.alias("_several"))
+    seen = points.select(*series, micros(F.col(ts)).alias(AT), tie, F.col("value").cast("double").alias("value"), F.col("z").cast("double").alias("z")).filter(F.col(AT).isNotNull())
+    width, dealt = _windows(seen, named, keys)
+    dealt = materialize(dealt.withColumn(NEAR, F.col(NEAR) & ~F.col("_several")).drop("_several"))
+    double, kinds = T.DoubleType(), {"n": T.LongType(), "anomaly_count": T.LongType()}
+    columns = ["n", "mean", "median", "std", "min", "max", "last", "anomaly_count", "anomaly_rate", "max_abs_z", *(["mad"] if spread else [])]
+    schema = T.StructType([*[(points if c in series else intervals).schema[c] for c in group], *[T.StructField(c, kinds.get(c, double)) for c in columns]])
+    by = [c for c in series if c not in keys]
+    out = _in_windows(seen, dealt.filter(NEAR).drop(NEAR), keys, width, _window_statistics(by, tie, [c for c in group if c not in by], spread, schema), schema)
+    far = dealt.filter(~F.col(NEAR)).select(*keys, *asked)
+    if far.isEmpty():
+        return out
+    rest = materialize(join_on(timed.drop(FROM, TO), far, [*keys, *asked], "left_semi"))
+    return out.unionByName(_numbered_statistics(points, rest, keys, series, ts, tie, asked, spread, short))
+
+
+def _numbered_statistics(points: DataFrame, intervals: DataFrame, keys: list[str], series: list[str], ts: str, tie: str, asked: list[str], spread: bool, short: int) -> DataFrame:
+    """The statistics of intervals that windows cannot hold."""
+    group = [*series, *asked]
     numbered, ranges = _looked_up(points, intervals, keys, series, ts, tie)
     length = F.col("after") - F.col("first")
     out = _short_statistics(numbered, ranges.filter(length <= short), keys, asked, group)
