@@ -93,3 +93,16 @@ def test_isolation_forest_finds_far_points_and_repeats(spark):
     first = {r["id"]: r["anomaly_score"] for r in run().collect()}
     assert {i for i, s in first.items() if s > 0} >= {1000, 1001, 1002, 1003}
     assert first == {r["id"]: r["anomaly_score"] for r in run().collect()}
+
+
+def test_near_duplicates_stop_at_the_first_threshold_with_enough_pairs(sample, monkeypatch):
+    vecs, scores = sample
+    labels = vecs.select("id", (F.col("id") % 3).cast("string").alias("label"))
+    asked, search = [], sim._similar_pairs
+    monkeypatch.setattr(sim, "_similar_pairs", lambda reps, threshold, *more: asked.append(threshold) or search(reps, threshold, *more))
+    n = len(scores)
+    pairs = sorted((-scores[i, j], i, j) for i in range(n) for j in range(i + 1, n) if i % 3 != j % 3 and scores[i, j] >= 0.9)
+    same = sum(s <= -1.0 for s, _, _ in pairs)
+    assert same
+    got = [(r["i"], r["j"]) for r in sim.near_duplicates(vecs, labels, 0.9, same).collect()]
+    assert got == [(i, j) for _, i, j in pairs[:same]] and asked == [1.0]
