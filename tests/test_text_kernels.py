@@ -28,3 +28,9 @@ def test_margins_with_empty_rows_and_little_memory():
     tracemalloc.stop()
     assert np.allclose(found, dense @ weights[:-1] + weights[-1])
     assert peak < offsets[-1] * 10 * 8  # before, one number for each non-zero and class
+
+
+def test_terms_are_counted_before_they_move(spark):
+    df = spark.createDataFrame([("ab ab",), ("ab",), (None,)], "t string")
+    found = {r["term"]: (r["df"], r["tf"]) for r in li.counted_terms(df, "t", li.character_runs).collect()}
+    assert found == {" ab": (2, 3), "ab ": (2, 3), " ab ": (2, 3)}
