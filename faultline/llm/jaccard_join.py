@@ -117,6 +117,8 @@ def signatures(shingles: np.ndarray, limit: Limit = NEAR, width: int = COMMON_WI
     found = []
     for band in range(low, high + 1):
         segments, ones = allocation(band, limit, width)
+        # The smaller set of a pair found by this scheme lies in its band: a larger one must not count the errors of its own size.
+        most = min(errors, limit.errors(int(bands()[band + 1]) - 1))
         salt = _U(band * 2 + 1)
         value = mix(shingles, np.full(n, salt))
         segment = (value >> _U(20)) % _U(segments)
@@ -129,7 +131,7 @@ def signatures(shingles: np.ndarray, limit: Limit = NEAR, width: int = COMMON_WI
         size[at] = np.diff(np.r_[starts, n]).astype(np.uint64)
         total[at] = np.add.reduceat(value, starts)
         key = mix(np.arange(segments, dtype=np.uint64), np.full(segments, salt))
-        enough = int((size[:ones] > 1).sum()) * 2 + int((size[ones:] > 0).sum()) > errors
+        enough = int((size[:ones] > 1).sum()) * 2 + int((size[ones:] > 0).sum()) > most
         found.append(mix(total + size, key)[size > 0] if enough else mix(total + size, key))
         if ones:
             mine = segment < ones

@@ -106,6 +106,22 @@ def test_sets_with_nothing_in_common_rarely_share_a_signature():
     assert shared.max() < 5
 
 
+@pytest.mark.parametrize("low, high", [(372, 462), (700, 860)])
+def test_sets_above_a_band_do_not_share_its_empty_segments(low, high):
+    """They also use the scheme of the band below, in which a smaller partner may lie."""
+    limit, rng = limit_of(0.8), np.random.default_rng(11)
+    signs = [signatures(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), limit, 5) for n in rng.integers(low, high, 400)]
+    assert np.unique(np.concatenate(signs), return_counts=True)[1].max() < 5
+
+
+def test_partners_in_neighbouring_bands_share_a_signature():
+    limit, rng = limit_of(0.8), np.random.default_rng(13)
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 2**63, int(rng.integers(250, 520))).astype(np.uint64))
+        y = x[: -(-len(x) * 4 // 5)]  # as small as a linked set can be
+        assert len(np.intersect1d(signatures(x, limit, 5), signatures(y, limit, 5)))
+
+
 def test_similarity_is_checked(spark):
     for wrong in (0, 1.1):
         with pytest.raises(ValueError):
