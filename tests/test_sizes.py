@@ -7,8 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.functions.text import ENGLISH_STOP_WORDS
 from faultline.operators import skew
 from faultline.operators import tickets as tk
+from faultline.operators.similarity import centroids, tfidf, tokens, top_keywords
+from faultline.operators.term_buckets import error_keywords
 from faultline.session import materialize
 
 
@@ -38,3 +41,22 @@ def test_dense_ids_cut_equal_rows_and_common_starts(spark, monkeypatch):
     assert [r[0] for r in found] == list(range(1, 1001)) and [r[1] for r in found] == sorted(r[1] for r in rows)
     ranges = [r["count"] for r in written[0].groupBy(F.shiftright("_place", 33)).count().collect()]
     assert len(ranges) > 8 and max(ranges) < 300
+
+
+WORDS = "red fox sea blue jump high low tide über wind".split()
+
+
+@pytest.mark.parametrize("most", [3, 7, 10_000])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_error_keywords_match_joins(spark, monkeypatch, most, repeated):
+    """Also where the limit cuts terms that are used equally often; without repeated ids no row for each document and term is made."""
+    rng = random.Random(most)
+    rows = [(i % 30 if repeated else i, rng.choice("abc"), " ".join(rng.choices(WORDS, k=rng.randrange(9)))) for i in range(60)] + [(100, "a", None), (101, "d", "onlyhere")]
+    wrong = spark.createDataFrame(rows, "id long, label string, t string")
+    weights = tfidf(wrong, "id", tokens(F.col("t"), ENGLISH_STOP_WORDS), max_features=most)
+    want = {(r["label"], r["rank"], r["term"]): round(r["weight"], 9) for r in top_keywords(centroids(weights, wrong, "id"), 5).collect()}
+    right = spark.createDataFrame([(500, "a", "a", "red red red")], "id long, y string, p string, t string")
+    if not repeated:
+        monkeypatch.setattr("faultline.operators.similarity.term_counts", None)
+    found = error_keywords(wrong.select("id", F.col("label").alias("y"), F.lit("z").alias("p"), "t").unionByName(right), "id", "t", "y", "p", 5, most)
+    assert {(r["label"], r["rank"], r["term"]): round(r["weight"], 9) for r in found.collect()} == want and want
