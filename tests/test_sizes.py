@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.functions.text import ENGLISH_STOP_WORDS
+from faultline.functions.text import ENGLISH_STOP_WORDS, clean_text
 from faultline.operators import skew
 from faultline.operators import tickets as tk
 from faultline.operators.similarity import centroids, tfidf, tokens, top_keywords
@@ -60,3 +62,30 @@ def test_error_keywords_match_joins(spark, monkeypatch, most, repeated):
         monkeypatch.setattr("faultline.operators.similarity.term_counts", None)
     found = error_keywords(wrong.select("id", F.col("label").alias("y"), F.lit("z").alias("p"), "t").unionByName(right), "id", "t", "y", "p", 5, most)
     assert {(r["label"], r["rank"], r["term"]): round(r["weight"], 9) for r in found.collect()} == want and want
+
+
+def cleaned(text):
+    text = text.lower()
+    for pattern in (r"http\S+|www\S+", r"\S+@\S+", r"[^a-zA-ZÀ-ÿ0-9\s]", r"\s+"):
+        text = re.sub(pattern, " ", text, flags=re.ASCII)
+    return text.strip(" ")
+
+
+def test_cleaned_texts(spark):
+    rng = random.Random(9)
+    parts = ["@", "a", "B9", " ", "\n", "\t", "http", "www", "é", "ß", "€", "😀", ".", "a@b", "x.y@z "]
+    rows = [("".join(rng.choices(parts, k=rng.randrange(12))),) for _ in range(3_000)]
+    found = spark.createDataFrame(rows, "t string").select("t", clean_text(F.col("t")).alias("c")).collect()
+    assert all(r["c"] == cleaned(r["t"]) for r in found)
+
+
+def test_a_long_run_without_blanks_is_cleaned_in_time(spark):
+    df = spark.range(4).select(F.repeat(F.lit("x"), 200_000).alias("t"))
+    began = time.monotonic()
+    assert df.select(F.sum(F.length(clean_text(F.col("t"))))).first()[0] == 800_000
+    assert time.monotonic() - began < 20  # seeking an address from each character on took minutes
+
+
+def test_tickets_are_cleaned_once(spark):
+    df = tk.preprocess_tickets(raw_tickets(spark, [("a", "b", "q")]))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
