@@ -37,12 +37,13 @@ def read_series(spark: SparkSession, glob: str, min_len: int = 50) -> DataFrame:
     name; incomplete rows and series with fewer than ``min_len`` rows drop."""
     raw = spark.read.schema(SERIES_SCHEMA).option("header", "true").csv(glob)
     path = F.col("_metadata.file_path")
+    file = F.substring_index(path, "/", -1)
     named = raw.select(
         F.timestamp_millis("timestamp").alias("ts"),
         "value",
         "label",
-        F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("family"),
-        F.regexp_extract(path, r"([^/]+)\.csv$", 1).alias("series_id"),
+        F.substring_index(F.substring_index(path, "/", -2), "/", 1).alias("family"),  # for every row, so no pattern that is tried at each character
+        F.when(file.endswith(".csv"), F.substring(file, F.lit(1), F.length(file) - 4)).otherwise("").alias("series_id"),
     ).filter(F.col("ts").isNotNull() & F.col("value").isNotNull() & F.col("label").isNotNull())
     return long_enough(named, ["family", "series_id"], min_len)
 

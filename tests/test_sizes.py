@@ -15,6 +15,7 @@ from faultline.operators import tickets as tk
 from faultline.operators.similarity import centroids, tfidf, tokens, top_keywords
 from faultline.operators.term_buckets import error_keywords
 from faultline.session import materialize
+from faultline.sources.tables import read_series
 
 
 def raw_tickets(spark, rows):
@@ -89,3 +90,13 @@ def test_a_long_run_without_blanks_is_cleaned_in_time(spark):
 def test_tickets_are_cleaned_once(spark):
     df = tk.preprocess_tickets(raw_tickets(spark, [("a", "b", "q")]))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_series_are_named_by_their_files_without_patterns(spark, tmp_path):
+    rows = "timestamp,value,label\n1,2.5,0\n2,3.5,1\n"
+    for family, name in (("svc1", "cpu.total.csv"), ("a b", "load.csv"), ("svc1", "plain")):
+        (tmp_path / family).mkdir(exist_ok=True)
+        (tmp_path / family / name).write_text(rows)
+    df = read_series(spark, f"{tmp_path}/*/*", 2)
+    assert {(r["family"], r["series_id"]) for r in df.collect()} == {("svc1", "cpu.total"), ("a%20b", "load"), ("svc1", "")}
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
